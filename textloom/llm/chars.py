@@ -17,8 +17,8 @@ GREEK_OF_CYRILLIC = "ΑΒΕΗΙΚΜΟΡΤΥΧαικορχγϲϊ"
 CYRILLIC_OF_GREEK = "АВЕНІКМОРТУХаікорхусї"
 GREEK_OF_LATIN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχγϲϊ"
 LATIN_OF_GREEK = "ABEZHIKMNOPTYXaikvopuxycï"
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯﻿"
-BLANKS = "\t\x0b\x0c\x1c\x1d\x1e\x1f\x85               "
+INVISIBLE = "\xad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\ufeff"
+BLANKS = "\x09\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 TO_CYRILLIC = str.maketrans(LATIN_LOOKALIKE + GREEK_OF_CYRILLIC, CYRILLIC_LOOKALIKE + CYRILLIC_OF_GREEK)
 TO_LATIN = str.maketrans(CYRILLIC_LOOKALIKE + GREEK_OF_LATIN, LATIN_LOOKALIKE + LATIN_OF_GREEK)
@@ -31,7 +31,7 @@ _HIDDEN = frozenset(INVISIBLE)
 
 _LAT, _CYR, _GRK = "A-Za-zÀ-ÖØ-öø-ɏ", "Ѐ-ԯ", "Ͱ-Ͽ"
 #: Characters that are never in clean text, whatever stands around them.
-_ALWAYS = re.compile(f"[{INVISIBLE}{BLANKS}０-９Ａ-Ｚａ-ｚ̀-ͯٓ-゙゚ٕ]")
+_ALWAYS = re.compile(f"[{INVISIBLE}{BLANKS}\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\u0300-\u036f\u0653-\u0655\u3099\u309a]")
 _LATIN_OR_GREEK = re.compile(f"[{_LAT}{_GRK}]")
 _CYRILLIC_OR_GREEK = re.compile(f"[{_CYR}{_GRK}]")
 _LATIN_LETTER = re.compile(f"[{_LAT}]")
@@ -43,7 +43,7 @@ _BEFORE, _AFTER = r"(?<![^\s«(„\"“‘'—–][{0}])", r"(?![^\s»),.!?…:;
 _LONE_LATIN = re.compile("[{0}]".format(LATIN_LOOKALIKE) + _BEFORE.format(LATIN_LOOKALIKE) + "[{0}]*".format(LATIN_LOOKALIKE) + _AFTER)
 _LONE_CYRILLIC = re.compile("[{0}]".format(CYRILLIC_LOOKALIKE) + _BEFORE.format(CYRILLIC_LOOKALIKE) + "[{0}]*".format(CYRILLIC_LOOKALIKE) + _AFTER)
 _WORD = re.compile(f"[{_LAT}{_CYR}{_GRK}]+(?:['’ʼ][{_LAT}{_CYR}{_GRK}]+)*")
-_EMOJI_JOIN = regex.compile(r"(?<=[\p{Extended_Pictographic}️\U0001F3FB-\U0001F3FF])‍(?=\p{Extended_Pictographic})")
+_EMOJI_JOIN = regex.compile("(?<=[\\p{Extended_Pictographic}\ufe0f\U0001F3FB-\U0001F3FF])\u200d(?=\\p{Extended_Pictographic})")
 _WORDS = regex.compile(r"[\p{L}\p{Nd}][\p{L}\p{M}\p{Nd}]*")
 #: Where none of these occur, the letters and digits of the standard library's class are the same words.
 _MARKS_POSSIBLE = re.compile("[^\x00-±´-¸º»À-ʯЀ-҂Ҋ-ԯ‐-‟…№☀-➿\U0001F000-\U0001FAFF]")

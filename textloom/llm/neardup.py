@@ -5,7 +5,7 @@ For a Jaccard threshold g two sets of sizes s <= t can only be similar if s >= g
 next, so every similar pair meets at the level of the larger set's band, where it differs in at most k words. There the
 word domain is hashed into n1 parts of n2 slots: some part differs in at most k2 = ceil((k+1)/n1)-1 words, so some
 n2-k2 of its slots are equal, and that subset's contents are a signature both sets have. Nothing similar is missed;
-buckets are thinned by size and a 64-bit parity sketch (whose Hamming distance never exceeds the sets'), and the rest is
+buckets are thinned by size and a 96-bit parity sketch (whose Hamming distance never exceeds the sets'), and the rest is
 compared exactly.
 """
 
@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions_for, written
-from .setjoin import by_partition, close_pairs, flat_sets, mix, verified, word_sets
+from .setjoin import bloom, by_partition, close_pairs, distance, flat_sets, in_bloom, mix, sketches, verified, word_sets
 
-_ENTRY = np.dtype([("sig", "<u4"), ("n", "<u4"), ("key", "<i8"), ("sketch", "<u8")])
+#: Sizes beyond MOST are stored as MOST and not thinned by size.
+MOST = 65_535
+_ENTRY = np.dtype([("sig", "<u4"), ("n", "<u2"), ("key", "<i8"), ("wide", "<u8"), ("narrow", "<u4")])
 
 
 def bands(least: int, num: int, den: int, most: int) -> list[tuple[int, int]]:
@@ -76,7 +78,7 @@ def _entries(sets: DataFrame, parts: int, least: int, num: int, den: int, streng
             keys, first = np.unique(b.column("key").to_numpy(), return_index=True)
             flat, at = flat_sets(b.column("toks").take(pa.array(first)))
             n = np.diff(at)
-            sketch = np.bitwise_xor.reduceat(np.uint64(1) << (mix(flat) >> np.uint64(58)), at[:-1]) if len(flat) else np.zeros(0, np.uint64)
+            wide, narrow = sketches(flat, at[:-1])
             out = []
             levels = bands(least, num, den, int(n.max(initial=1)))
             levels.append((levels[-1][1] + 1, (levels[-1][1] + 1) * den // num))
@@ -90,9 +92,10 @@ def _entries(sets: DataFrame, parts: int, least: int, num: int, den: int, streng
                 e = np.empty(sig.size, dtype=_ENTRY)
                 s = sig.reshape(-1)
                 e["sig"] = (s >> np.uint64(32)).astype(np.uint32)
-                e["n"] = np.repeat(n[own], sig.shape[1])
+                e["n"] = np.repeat(np.minimum(n[own], MOST), sig.shape[1])
                 e["key"] = np.repeat(keys[own], sig.shape[1])
-                e["sketch"] = np.repeat(sketch[own], sig.shape[1])
+                e["wide"] = np.repeat(wide[own], sig.shape[1])
+                e["narrow"] = np.repeat(narrow[own], sig.shape[1])
                 out.append((((s & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int32), e))
             if not out:
                 continue
@@ -119,17 +122,18 @@ def _meet(entries: DataFrame, num: int, den: int, limit: int) -> DataFrame:
         e = e[np.concatenate([[True], (e["sig"][1:] != e["sig"][:-1]) | (e["key"][1:] != e["key"][:-1])])]
         same = e["sig"][1:] == e["sig"][:-1]
         e = e[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        sig, n, key, sketch = e["sig"].copy(), e["n"].astype(np.int64), e["key"].copy(), e["sketch"].copy()
+        sig, n, key, wide, narrow = e["sig"].copy(), e["n"].astype(np.int64), e["key"].copy(), e["wide"].copy(), e["narrow"].copy()
         del e
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
         length = np.diff(np.concatenate([start, [len(sig)]]))
         big = np.repeat(length > limit, length)
         over = np.unique(key[big])
-        sig, n, key, sketch = sig[~big], n[~big], key[~big], sketch[~big]
+        sig, n, key, wide, narrow = sig[~big], n[~big], key[~big], wide[~big], narrow[~big]
 
         def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             p, q = n[i], n[j]
-            return (np.minimum(p, q) * den >= np.maximum(p, q) * num) & (np.bitwise_count(sketch[i] ^ sketch[j]).astype(np.int64) * (num + den) <= (p + q) * (den - num))
+            ok = (np.minimum(p, q) * den >= np.maximum(p, q) * num) & (distance(wide[i], narrow[i], wide[j], narrow[j]) * (num + den) <= (p + q) * (den - num))
+            return ok | (p == MOST) | (q == MOST)
 
         pairs = close_pairs(sig, key, near)
         a = np.concatenate([pairs[:, 0], over])
@@ -140,7 +144,7 @@ def _meet(entries: DataFrame, num: int, den: int, limit: int) -> DataFrame:
     return entries.mapInArrow(kernel, "a BIGINT, b BIGINT")
 
 
-def similar_sets(sets: DataFrame, least: int = 14, num: int = 3, den: int = 4, limit: int = 8_192) -> DataFrame:
+def similar_sets(sets: DataFrame, least: int = 14, num: int = 3, den: int = 4, limit: int = 50_000) -> DataFrame:
     """(a, b, overlap, union_size): every pair a < b of different set keys with a Jaccard similarity of at least num/den.
 
     `sets` is a written table (key, n, toks). Buckets of more than `limit` sets go to another round with stronger
@@ -156,13 +160,24 @@ def similar_sets(sets: DataFrame, least: int = 14, num: int = 3, den: int = 4, l
         over = met.where("b IS NULL").select(F.col("a").alias("key")).distinct()
         if last or over.isEmpty():
             break
-        current = sets.join(over, "key", "left_semi")
+        current = _only(sets, over)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
     return verified(pairs.distinct(), sets, num, den)
 
 
+def _only(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """The sets with one of the keys, and few others: a fixed-size filter instead of a shuffle of all sets; more sets only mean more work."""
+    bits = sets.sparkSession.sparkContext.broadcast(bloom(keys, "key"))
+
+    def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield b.filter(pa.array(in_bloom(bits.value, b.column("key").to_numpy())))
+
+    return sets.select("key", "toks").mapInArrow(kernel, "key BIGINT, toks BINARY")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "text_id", text_col: str = "text", least: int = 14, num: int = 3, den: int = 4) -> tuple[DataFrame, DataFrame]:
     """The operator: (members, links).
 

@@ -49,6 +49,22 @@ def flat_sets(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, dtype=np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def sketches(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96-bit parity sketches of sets, as 64 and 32 bits: the Hamming distance of two sketches never exceeds the sets' symmetric difference."""
+    if not len(flat):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    slot = (mix(flat) >> np.uint64(32)) % np.uint64(96)
+    low = slot < np.uint64(64)
+    wide = np.where(low, np.uint64(1) << (slot & np.uint64(63)), np.uint64(0))
+    narrow = np.where(low, np.uint32(0), np.uint32(1) << (slot & np.uint64(31)).astype(np.uint32))
+    return np.bitwise_xor.reduceat(wide, at), np.bitwise_xor.reduceat(narrow, at)
+
+
+def distance(w1: np.ndarray, n1: np.ndarray, w2: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """Hamming distances of sketches."""
+    return np.bitwise_count(w1 ^ w2).astype(np.int64) + np.bitwise_count(n1 ^ n2)
+
+
 def word_sets(df: DataFrame, id_col: str = "text_id", text_col: str = "text", least: int = 14, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep..., key, n, toks): one row per input row whose text has at least `least` distinct words. NULL ids and NULL, empty or blank texts give none."""
     src = df.select(F.col(id_col).alias("id"), *[F.col(c) for c in keep], F.col(text_col).alias("_text")).where("id IS NOT NULL AND _text IS NOT NULL")
