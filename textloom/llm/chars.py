@@ -136,10 +136,41 @@ def fix_text(text: str) -> str:
     """The consistent form: composed letters, no invisible characters outside emoji, ordinary blanks, ASCII for full-width letters and digits, look-alikes in their word's own alphabet."""
     if _ALWAYS.search(text):
         text = _composed(text)
-    return text if text.isascii() else _letters(text)
+    if text.isascii():
+        return text
+    fixed = _letters(text)
+    return text if fixed is text else unicodedata.normalize("NFC", fixed)
 
 
 def words(text: str) -> list[str]:
     """Maximal runs of letters (with their combining marks) and digits of the consistent form, lower case."""
     text = fix_text(text).lower()
     return (_WORDS if _MARKS_POSSIBLE.search(text) else _PLAIN_WORDS).findall(text)
+
+
+_VALUE = regex.compile(r"[\p{L}\p{M}\p{Nd}'’ʼ" + INVISIBLE + r"]+|[" + BLANKS + "]+")
+
+
+def odd_values(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, length, value, mapped): runs of letters, digits and invisible characters, and runs of blanks, that the consistent form writes otherwise."""
+    mapped = fix_text(text)
+    if mapped == text:
+        return []
+    keep = {m.start() for m in _EMOJI_JOIN.finditer(text)} if "\u200d" in text else set()
+    spans = [m.span() for m in _VALUE.finditer(text)]
+    pieces = [(a, b, _composed(text[a:b])) for a, b in spans if not (keep and keep.issuperset(range(a, b)))]
+    # look-alikes are judged in their context, so the composed pieces are put together first
+    out, at, joined, places = [], 0, [], []
+    length = 0
+    for a, b, v in pieces:
+        gap = text[at:a]
+        joined += [gap, v]
+        places.append((a, b, length + len(gap), len(v)))
+        length += len(gap) + len(v)
+        at = b
+    whole = _letters("".join([*joined, text[at:]]))
+    for a, b, pos, n in places:
+        v = unicodedata.normalize("NFC", whole[pos:pos + n])
+        if v != text[a:b]:
+            out.append((a, b - a, text[a:b], v))
+    return out

@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosssplit, neardup
+from pyspark.sql import functions as F
+
+from . import canonical, crosssplit, neardup, sentences
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    units = sentences.sentence_units(_t(spark, d, "processed_v2_sample"))
+    return units.select(F.col("id").alias("text_id"), "start_char").distinct()
+
+
+def p1_units(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(_t(spark, d, "processed_v2_sample")).withColumnRenamed("id", "text_id").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.pairs_of(*crosssplit.cross_split(_t(spark, d, "processed_v2_sample"), _t(spark, d, "split_ids")))
 
@@ -27,5 +38,19 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups_of(*neardup.near_duplicates(_t(spark, d, "processed_v2_sample")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p4_found, p4_groups)}
+def _p6_rows(spark: SparkSession, d: str) -> DataFrame:
+    reviews = _t(spark, d, "processed_v2_sample").select(F.lit("processed_v2_sample").alias("src"), F.col("text_id").cast("string").alias("row_key"), "text")
+    cases = _t(spark, d, "test_cases_lab13").select(F.lit("test_cases_lab13").alias("src"), F.col("case_id").alias("row_key"), F.col("input").alias("text"))
+    return reviews.unionByName(cases)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.found(_p6_rows(spark, d))
+
+
+def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.consistent(_p6_rows(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_units, p3_found, p3_counts, p4_found, p4_groups, p6_found, p6_consistent)}
 ORACLE: dict[str, str] = {}
