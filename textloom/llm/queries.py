@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import canonical, crosssplit, neardup, sentences
+from . import canonical, crosssplit, neardup, pii, sentences
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -52,5 +52,20 @@ def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
     return canonical.consistent(_p6_rows(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_units, p3_found, p3_counts, p4_found, p4_groups, p6_found, p6_consistent)}
+def _p7_rows(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda name: _t(spark, d, name).select(F.lit(name).alias("src"), "text_id", "text")
+    return one("processed_v2_sample").unionByName(one("eval_set_lab11"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _p7_rows(spark, d)
+    return pii.spans(rows, pii.trained(rows)).select("src", "text_id", "pii_type").distinct()
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    rows = _p7_rows(spark, d)
+    return pii.redacted(rows, pii.trained(rows))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_units, p3_found, p3_counts, p4_found, p4_groups, p6_found, p6_consistent, p7_found, p7_redacted)}
 ORACLE: dict[str, str] = {}
