@@ -174,3 +174,27 @@ def odd_values(text: str) -> list[tuple[int, int, str, str]]:
         if v != text[a:b]:
             out.append((a, b - a, text[a:b], v))
     return out
+
+
+def back_map(raw: str):
+    """Maps offsets of the consistent form to the text as stored."""
+    pieces = odd_values(raw)
+    if not pieces:
+        return lambda k: k
+    marks, moved = [], 0
+    for start, n, _, mapped in pieces:
+        marks.append((start - moved, len(mapped), n))
+        moved += n - len(mapped)
+
+    def back(k: int) -> int:
+        add = 0
+        for at, new, old in marks:
+            if k >= at + new:
+                add += old - new
+            elif k > at:
+                return k + add + (0 if old == new else min(old - new, k - at) if old > new else 0)
+            else:
+                break
+        return k + add
+
+    return back
