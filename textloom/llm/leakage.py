@@ -19,7 +19,7 @@ from .setjoin import mix
 
 #: N-grams broadcast at once; more items are searched in further blocks, each over all documents.
 BLOCK = 1_000_000
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+_MULT = 0x9E3779B97F4A7C15
 
 
 def _word_codes(text: str, codes: dict[str, int]) -> np.ndarray:
@@ -33,7 +33,7 @@ def _grams(code: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.zeros(len(code) - n + 1, dtype=np.uint64)
     for k in range(n):
-        h = (h + mix(code[k:len(code) - n + 1 + k] + np.uint64(k + 1) * _MULT)) * _MULT
+        h = (h + mix(code[k:len(code) - n + 1 + k] + np.uint64((k + 1) * _MULT & 0xFFFFFFFFFFFFFFFF))) * np.uint64(_MULT)
     return h
 
 

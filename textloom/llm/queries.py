@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import canonical, crosssplit, neardup, pii, sentences
+from . import canonical, chunking, crosssplit, leakage, linking, mixing, neardup, pii, sampling, sentences
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -67,5 +67,73 @@ def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(rows, pii.trained(rows))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_units, p3_found, p3_counts, p4_found, p4_groups, p6_found, p6_consistent, p7_found, p7_redacted)}
-ORACLE: dict[str, str] = {}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.quotas(_t(spark, d, "labels"), _t(spark, d, "label_targets")).where("exhausted").select("label")
+
+
+def p2_quotas(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.quotas(_t(spark, d, "labels"), _t(spark, d, "label_targets")).drop("canon")
+
+
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.sample(_t(spark, d, "labels"), _t(spark, d, "label_targets")).withColumnRenamed("id", "text_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    typed = _t(spark, d, "eval_set_lab11").where("expected.location_text IS NOT NULL").select(F.lit("eval_set_lab11").alias("src"), "text_id", F.col("expected.location_text").alias("mention"))
+    draft = _t(spark, d, "lab4_gold_ie_draft").where("field_type = 'LOCATION'").select(F.lit("lab4_gold_ie_draft").alias("src"), "text_id", F.expr("stack(2, span_text, normalized_value) AS mention"))
+    return linking.linked(typed.unionByName(draft), _t(spark, d, "location_ref"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.found(_t(spark, d, "documents"), _t(spark, d, "heldout_items"))
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(_t(spark, d, "documents"), _t(spark, d, "heldout_items")).distinct()
+
+
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.cleaned(_t(spark, d, "documents"), _t(spark, d, "heldout_items")).select("doc_id", "text", "leaked_chars")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.balance(_t(spark, d, "documents"), _t(spark, d, "source_weights")).report.where("exhausted").select("source")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(mixing.balance(_t(spark, d, "documents"), _t(spark, d, "source_weights")))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.copies(mixing.balance(_t(spark, d, "documents"), _t(spark, d, "source_weights"))).where("copies > 0")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.split_documents(_t(spark, d, "documents"), only_oversized=True).where("piece_no = 0").select("doc_id").distinct()
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.split_documents(_t(spark, d, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_units, p2_found, p2_quotas, p2_sample, p3_found, p3_counts, p4_found, p4_groups, p5_found, p6_found, p6_consistent,
+        p7_found, p7_redacted, p8_found, p8_spans, p8_cleaned, p9_found, p9_shares, p9_mix, p10_found, p10_pieces,
+    )
+}
+
+_CANON = r"regexp_replace(trim(regexp_replace(lower(label), '\\s+', ' ', 'g')), ' ?/ ?', ' / ', 'g')"
+_QUOTAS = f"""
+WITH r AS (SELECT DISTINCT text_id, {_CANON} AS canon FROM labels WHERE text_id IS NOT NULL AND label IS NOT NULL),
+c AS (SELECT canon, count(*) AS n FROM r GROUP BY canon),
+s AS (SELECT count(DISTINCT text_id) * 0.2::DOUBLE AS s FROM r),
+q AS (SELECT t.label, coalesce(c.n, 0) AS available, greatest(t.min_rows::DOUBLE, t.target_share * s.s) AS wanted
+      FROM (SELECT *, {_CANON} AS canon FROM label_targets) t LEFT JOIN c USING (canon) CROSS JOIN s)
+"""
+ORACLE: dict[str, str] = {
+    "p2_found": _QUOTAS + "SELECT label FROM q WHERE available < wanted - 1e-9",
+    "p2_quotas": _QUOTAS + "SELECT label, available::BIGINT AS available, wanted, least(available, round(wanted)::BIGINT)::BIGINT AS quota, available < wanted - 1e-9 AS exhausted FROM q",
+}
