@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import relational, textual
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _module in (relational, textual):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
