@@ -125,7 +125,7 @@ QUERIES = {
     )
 }
 
-_CANON = r"regexp_replace(trim(regexp_replace(lower(label), '\\s+', ' ', 'g')), ' ?/ ?', ' / ', 'g')"
+_CANON = r"regexp_replace(trim(regexp_replace(lower(label), '\s+', ' ', 'g')), ' ?/ ?', ' / ', 'g')"
 _QUOTAS = f"""
 WITH r AS (SELECT DISTINCT text_id, {_CANON} AS canon FROM labels WHERE text_id IS NOT NULL AND label IS NOT NULL),
 c AS (SELECT canon, count(*) AS n FROM r GROUP BY canon),
