@@ -37,9 +37,14 @@ def find(t: Column | str, pattern: str, label: str = "") -> Column:
     return folded
 
 
+def _number(v: Column) -> Column:
+    """Digits as a number, full-width ones too."""
+    return F.translate(v, "０１２３４５６７８９", "0123456789").try_cast("int")
+
+
 def numeric_date(v: Column) -> Column:
     """d.m.yyyy as ISO text, NULL unless the day is 1 to 31 and the month 1 to 12."""
-    d, m, y = (F.regexp_extract(v, DATE_NUMERIC, i).cast("int") for i in (1, 2, 3))
+    d, m, y = (_number(F.regexp_extract(v, DATE_NUMERIC, i)) for i in (1, 2, 3))
     return F.when(d.between(1, 31) & m.between(1, 12), F.format_string("%04d-%02d-%02d", y, m, d))
 
 
@@ -47,7 +52,7 @@ def textual_date(v: Column) -> Column:
     """Day and month name as ISO text, NULL without a year."""
     months = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(i + 1))])
     d, y = F.regexp_extract(v, DATE_TEXTUAL, 1), F.regexp_extract(v, DATE_TEXTUAL, 3)
-    return F.when(y != "", F.format_string("%04d-%02d-%02d", y.cast("int"), F.element_at(months, F.lower(F.regexp_extract(v, DATE_TEXTUAL, 2))), d.cast("int")))
+    return F.when(y != "", F.format_string("%04d-%02d-%02d", _number(y), F.try_element_at(months, F.lower(F.regexp_extract(v, DATE_TEXTUAL, 2))), _number(d)))
 
 
 def dates(t: Column | str) -> Column:

@@ -21,8 +21,11 @@ def char_ngrams(text: Column | str, lo: int = 3, hi: int = 5) -> Column:
 
     def grams(w: Column) -> Column:
         p = pad(w)
-        longer = [F.when(F.length(p) > n, F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i, n=n: F.substring(p, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(lo, hi + 1)]
-        return F.when(F.length(p) <= lo, F.array(p)).otherwise(F.concat(*longer, F.when(F.length(p) <= hi, F.array(p)).otherwise(F.array().cast("array<string>"))))
+        def cut(n: int) -> Column:
+            return F.when(F.length(p) > n, F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.substring(p, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+        longer = [cut(n) for n in range(lo, hi + 1)]
+        return F.concat(*longer, F.when(F.length(p) <= hi, F.array(p)).otherwise(F.array().cast("array<string>")))
 
     return F.flatten(F.transform(words, grams))
 

@@ -83,11 +83,12 @@ def span_comparison(gold: DataFrame, pred: DataFrame, doc: str = "doc") -> DataF
     A predicted span that overlaps gold is no false positive; of several overlapping predictions the first counts. Duplicate spans count once."""
     g = gold.select(doc, "start_char", "end_char", "label").distinct()
     p = pred.select(doc, F.col("start_char").alias("ps"), F.col("end_char").alias("pe"), F.col("label").alias("pl")).distinct()
-    cross = (F.greatest("start_char", "ps") < F.least("end_char", "pe"))
+    cross = F.col("ps").isNotNull() & (F.greatest("start_char", "ps") < F.least("end_char", "pe"))  # greatest and least skip NULLs
     j = g.join(p, [doc], "left").withColumn("hit", cross)
     rank = F.when((F.col("start_char") == F.col("ps")) & (F.col("end_char") == F.col("pe")), F.when(F.col("label") == F.col("pl"), 0).otherwise(1)).when(F.col("hit"), F.when(F.col("label") == F.col("pl"), 2).otherwise(3))
     best = j.groupBy(doc, "start_char", "end_char", "label").agg(F.min(F.when(F.col("hit"), F.struct(rank.alias("r"), "ps", "pe", "pl"))).alias("b"))
-    names = F.create_map(*[x for i, n in enumerate(("exact", "type", "boundary", "overlap")) for x in (F.lit(i), F.lit(n))])
-    out = best.select(doc, F.coalesce(F.try_element_at(names, F.col("b.r")), F.lit("missed")).alias("category"), "start_char", "end_char", "label", F.col("b.ps").alias("pred_start"), F.col("b.pe").alias("pred_end"), F.col("b.pl").alias("pred_label"))
+    r = F.col("b.r")
+    category = F.when(F.col("b").isNull(), "missed").when(r == 0, "exact").when(r == 1, "type").when(r == 2, "boundary").otherwise("overlap")
+    out = best.select(doc, category.alias("category"), "start_char", "end_char", "label", F.col("b.ps").alias("pred_start"), F.col("b.pe").alias("pred_end"), F.col("b.pl").alias("pred_label"))
     fp = p.join(g, [p[doc] == g[doc], F.greatest(g["start_char"], p["ps"]) < F.least(g["end_char"], p["pe"])], "left_anti")
     return out.unionByName(fp.select(doc, F.lit("false_positive").alias("category"), *[F.lit(None).cast(t).alias(n) for n, t in (("start_char", "int"), ("end_char", "int"), ("label", "string"))], F.col("ps").alias("pred_start"), F.col("pe").alias("pred_end"), F.col("pl").alias("pred_label")))

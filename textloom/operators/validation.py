@@ -26,6 +26,10 @@ _TYPES = {"string": "STRING", "number": "(BIGINT|DECIMAL.*|DOUBLE|FLOAT|INT)", "
 _ERROR = "STRUCT<path: STRING, type: STRING, message: STRING>"
 
 
+def _below(limit: float):
+    return lambda x: x.try_cast("double") < limit
+
+
 def unfenced(raw: Column | str) -> Column:
     """The JSON object inside a fenced or wordy answer: from the first brace to the last."""
     c = F.col(raw) if isinstance(raw, str) else raw
@@ -35,7 +39,9 @@ def unfenced(raw: Column | str) -> Column:
 def validate(raw: Column | str, rules: tuple[Rule, ...], extra_allowed: bool = False) -> Column:
     """struct(parse_ok, schema_ok, error_type, errors): errors sorted by path; the type of the first of missing, wrong type, extra field, other that occurs, `parse` if the text is no JSON object."""
     c = F.col(raw) if isinstance(raw, str) else raw
-    v = F.try_parse_json(c)
+    # the JSON reader stops after the first value; words after an object make the whole text no JSON
+    whole = ~c.rlike(r"(?s)^\s*\{") | c.rlike(r"(?s)\}\s*$")
+    v = F.when(whole, F.try_parse_json(c))
     kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
     is_object = kind.rlike("^(OBJECT|STRUCT)<")
     text = F.when(is_object, c)
@@ -60,7 +66,7 @@ def validate(raw: Column | str, rules: tuple[Rule, ...], extra_allowed: bool = F
             if r.items == "number":
                 checks.append(F.when(present & ok & ~null & F.exists(arr, lambda x: x.try_cast("double").isNull()), err(r.name, "wrong_type", "items")))
             if r.minimum is not None:
-                checks.append(F.when(present & ok & ~null & F.exists(arr, lambda x, r=r: x.try_cast("double") < r.minimum), err(r.name, "other", "minimum")))
+                checks.append(F.when(present & ok & ~null & F.exists(arr, _below(r.minimum)), err(r.name, "other", "minimum")))
             if r.unique:
                 checks.append(F.when(present & ok & ~null & (F.size(F.array_distinct(arr)) < F.size(arr)), err(r.name, "other", "unique")))
     known = F.array(*[F.lit(r.name) for r in rules])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import relational, textual
+from . import checked, relational, textual
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (relational, textual):
+for _module in (relational, textual, checked):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
