@@ -53,7 +53,7 @@ def parts(text: str, start: int, end: int, limit: int, path: str, rank: int = 0)
 
 
 def _overlap_start(text: str, start: int, end: int, overlap: int, path: str) -> int:
-    """The first word boundary from which the end of a piece has at most `overlap` tokens."""
+    """The first word boundary from which the end of a piece has at most `overlap` tokens, else the first character."""
     if overlap <= 0:
         return end
     words = [m.end() for m in re.finditer(r"\s+", text[start:end])]
@@ -64,7 +64,14 @@ def _overlap_start(text: str, start: int, end: int, overlap: int, path: str) ->
         if count(text[start + w:end], path) > overlap:
             break
         best = start + w
-    return best
+    if best < end:
+        return best
+    # no word fits: as many trailing characters as do
+    lo, hi = 0, min(4 * overlap, end - start - 1)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if count(text[end - mid:end], path) <= overlap else (lo, mid - 1)
+    return end - lo
 
 
 def pieces(text: str | None, limit: int = 2048, overlap: int = 64, path: str | None = None) -> list[tuple[int, int, int]]:
