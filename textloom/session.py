@@ -20,3 +20,28 @@ def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSessi
     for k, v in {**DEFAULTS, **conf}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable by the Python workers, once per application: nothing to do where their path has it, else a zip of the package is added to the job."""
+    import os
+    import tempfile
+    import zipfile
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    there = root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.master.startswith("local") and not sc.master.startswith("local-cluster") and os.path.realpath(os.getcwd()) == os.path.realpath(root)
+    if there or sc.applicationId in _SHIPPED:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="textloom-code-"), "textloom_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(os.path.join(root, "textloom")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()
