@@ -173,7 +173,7 @@ def matched(mentions: DataFrame, reference: DataFrame, col: str = "mention", ref
         for b in it:
             ok, d = [], []
             for i, (r, f) in enumerate(zip(b.column("reading").to_pylist(), b.column("form").to_pylist())):
-                most = allowed(min(len(r), len(f)))
+                most = allowed(len(f))
                 e = distance(r, f, most)
                 if e <= most:
                     ok.append(i)

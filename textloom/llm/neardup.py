@@ -154,7 +154,7 @@ def similar_sets(sets: DataFrame, least: int = 14, num: int = 3, den: int = 4, l
     strength = int(count > 4_000_000) + int(count > 60_000_000)
     for strength in range(strength, strength + 4):
         last = strength >= 3 or len(found) == 3
-        parts = partitions_for(spark, 1 + count * 60 // 3_000_000)
+        parts = partitions_for(spark, 1 + count * 50 // 600_000)  # about 16 MB of signatures each
         met = written(_meet(by_partition(_entries(current, parts, least, num, den, strength), parts), num, den, 1 << 40 if last else limit), "met")
         found.append(met.where("b IS NOT NULL"))
         over = met.where("b IS NULL").select(F.col("a").alias("key")).distinct()
