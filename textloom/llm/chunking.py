@@ -20,11 +20,11 @@ from .tokens import count
 
 #: Each pattern matches the end of a part of its rank, blanks included.
 SEPARATORS = (
-    re.compile(r"\n\s*\n(?=[^\n]{1,60}\n\s*\n)"),  # before a short line that stands alone: a heading
-    re.compile(r"\n\s*\n"),
+    re.compile(r"(?<=\S)[^\S\n]*+\n(?:[^\S\n]*+\n)++(?=[^\n]{1,60}\n[^\S\n]*+\n)"),  # before a short line that stands alone: a heading
+    re.compile(r"(?<=\S)[^\S\n]*+\n(?:[^\S\n]*+\n)++"),
     re.compile(r"\n"),
-    re.compile(r"(?:[.!?…]+[)»”\"]*\s+|[。！？।]+[」』”]*)"),
-    re.compile(r"\s+"),
+    re.compile(r"(?:(?<![.!?…])[.!?…]++[)»”\"]*+\s++|[。！？।]++[」』”]*+)"),
+    re.compile(r"\s++"),
 )
 
 
