@@ -95,6 +95,24 @@ def test_personal_data(spark):
     assert pii.spans(df.limit(0), pii.trained(df.limit(0))).isEmpty()
 
 
+def test_name_parts_come_from_all_texts(spark, monkeypatch):
+    given = [("Соломія", "Кривовид"), ("Вітана", "Дубогрив"), ("Мирава", "Сокологір"), ("Зорян", "Каменяр"), ("Любава", "Тихобор"), ("Остап", "Яворенко")]
+    texts = [f"Мене звати {a} {b}, я стою на обліку." for a, b in given] + [f"Чекали {i} хвилин." for i in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts * 8], "text STRING")
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda t, *x, train=pii.train: seen.append(t) or train(t, *x))
+    m = pii.trained(df, texts=5)
+    assert len(seen[0]) == 5  # distinct ones
+    assert {w.lower() for x in given for w in x} <= m.names
+    for a, b in given:
+        t = f"Мене звати {a} {b}".lower()
+        assert [s[:3] for s in pii.detect([t], m)[0]] == [(11, len(t), "NAME")], t
+    assert pii.lexicon(df) == pii.lexicon(df.distinct())
+    monkeypatch.setattr(pii, "MAX_NAME_PARTS", 3)
+    with pytest.raises(ValueError):
+        pii.lexicon(df)
+
+
 def brute_leaks(docs, items, n):
     out = set()
     for d, t in docs:

@@ -2,8 +2,9 @@
 
 Generators of high recall propose overlapping candidate spans. Labelling functions (cue words and formats) label the
 candidates of a bounded sample of texts; gradient-boosted trees are trained there on format and context features, with the
-labelling functions' vote only as the base margin, and thresholds are calibrated on held-out candidates. The model then
-scores every candidate of every text, and the best non-overlapping spans over their threshold are redacted.
+labelling functions' vote only as the base margin, and thresholds are calibrated on held-out candidates. Parts of names are
+counted by vote over all texts, not the sample. The model then scores every candidate of every text, and the best
+non-overlapping spans over their threshold are redacted.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ from pyspark.sql import functions as F
 
 from .boosting import Boosted, calibrated_threshold, fit
 from .chars import back_map, fix_text
+from .common import written
 from .linking import _translit
 
 TYPES = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 #: Texts from which the classifier is trained: the ones with the least hash of their text.
 TRAINING_TEXTS = 12_000
+#: The learned parts of names are broadcast. Beyond this many a job stops instead of broadcasting without bound; none is left out.
+MAX_NAME_PARTS = 500_000
 
 _L = r"[^\W\d_]"
 _AT = r"(?:\s?@\s?|\s?[(\[{]\s?(?:at|ет|собака|собачка|małpa)\s?[)\]}]\s?|\s(?:at|собака|собачка|равлик|małpa)\s)"
@@ -66,7 +70,7 @@ CUES = {
 
 @dataclass
 class Model:
-    """A boosted classifier and a threshold per type, with the log-odds of context words and of name suffixes learned on the training candidates."""
+    """A boosted classifier and a threshold per type, with the log-odds of context words learned on the training candidates; parts and endings of names learned on all texts."""
 
     trees: dict[str, Boosted] = field(default_factory=dict)
     threshold: dict[str, float] = field(default_factory=dict)
@@ -93,6 +97,12 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     if any(h in low for h in _ADDRESS_HINTS):
         out += [(*m.span(), "ADDRESS") for m in _ADDRESS.finditer(text)]
         out += [(*m.span(), "ADDRESS") for m in _ADDRESS_EN.finditer(text)]
+    return out + _named(text)
+
+
+def _named(text: str) -> list[tuple[int, int, str]]:
+    """The NAME spans among the candidates."""
+    out = []
     if not _NEIGHBOURS.search(text):
         return out
     for m in _NAME.finditer(text):
@@ -112,7 +122,7 @@ _ANY = re.compile(rf"{_L}[\w'’ʼ]*\.?")
 
 
 def _uncased(text: str, model: Model) -> list[tuple[int, int, str, float]]:
-    """Names whose letter case says nothing (all small or all capitals): neighbouring words, or initials and a word, that the training candidates have as parts of names."""
+    """Names whose letter case says nothing (all small or all capitals): neighbouring words, or initials and a word, that the candidates of all texts have as parts of names."""
     if not _CAPS_RUN.search(text) and not any(text[m.end():m.end() + 1].islower() for m in _CUED.finditer(text.lower())):
         return []
     out, w = [], [(m.start(), m.end(), m.group().lower()) for m in _ANY.finditer(text)]
@@ -185,17 +195,21 @@ _INITIALS_OF = re.compile(rf"[{_UP}]\.")
 _PATRONYMIC = re.compile(r"(?:івн|ович|ївн|ivn|ovych)")
 
 
+def _context(text: str, a: int, b: int) -> tuple[str, str, int]:
+    """What stands left and right of a span, and where its sentence begins in the left: what belongs to another sentence is no context."""
+    left = text[max(0, a - 48):a]
+    left = left[left.rfind("\n") + 1:]
+    return left, text[b:b + 32], max((m.end() for m in _ENDED.finditer(left + text[a:b][:1])), default=0)
+
+
 def features(text: str, cands: list[tuple[int, int, str]]) -> tuple[list[list[float]], list[float], list[list[str]]]:
     """Format and context features, votes and learnable tokens of each candidate."""
     x, votes, toks = [], [], []
     for a, b, kind in cands:
-        span, left, right = text[a:b], text[max(0, a - 48):a], text[b:b + 32]
-        nl = left.rfind("\n")
-        left = left[nl + 1:]
-        low_l, low_r = left.lower(), right.lower()
-        # what belongs to another sentence is no context
-        cut = max((m.end() for m in _ENDED.finditer(left + span[:1])), default=0)
-        near = low_l[cut:]
+        span = text[a:b]
+        left, right, cut = _context(text, a, b)
+        low_r = right.lower()
+        near = left.lower()[cut:]
         digits = [c for c in span if c.isdigit()]
         groups = _DIGITS_OF.findall(span)
         letters = _WORDS_OF.findall(span)
@@ -223,8 +237,42 @@ def _encoded(x: list[list[float]], toks: list[list[str]], odds: dict[str, float]
     return np.array([a + b for a, b in zip(x, extra)], dtype=np.float64).reshape(len(x), -1)
 
 
-def train(texts: list[str]) -> Model:
-    """Fits trees and thresholds on the candidates of the given texts. A third is held out to calibrate; without candidates of a type its votes decide."""
+def name_votes(texts: list[str]) -> dict[str, list[int]]:
+    """Per part of the texts' name candidates, in small letters and of at least four: how many candidates are voted a name, and how many none."""
+    out: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for t in map(fix_text, texts):
+        for a, b, kind in _named(t):
+            span = t[a:b]
+            left, right, cut = _context(t, a, b)
+            v = _vote(kind, span, left.lower()[cut:], right.lower())
+            own = [w.lower() for w in _WORD.findall(span) if len(w) > 3]
+            if not v or v < 0 and any(_CUE_RE["person"].search(w) for w in own):
+                continue  # a cue word before a name says nothing about the name
+            for w in own:
+                out[w][v < 0] += 1
+    return out
+
+
+def _is_part(z: str, yes: int, no: int) -> bool:
+    return yes > no and not any(p.search(z) for p in _CUE_RE.values())
+
+
+def _lexicon(counts: list[tuple[str, int, int]], ends: list[tuple[str, int, int]] | None = None) -> tuple[set[str], set[str]]:
+    """(parts, endings) of names from votes by part, and by ending if `counts` has only parts with more votes for than against."""
+    if ends is None:
+        by: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        for z, p, n in counts:
+            by[z[-3:]][0] += p
+            by[z[-3:]][1] += n
+        ends = [(e, p, n) for e, (p, n) in by.items()]
+    names = {z for z, p, n in counts if _is_part(z, p, n)}
+    names |= {_translit(z) for z in names}
+    endings = {e for e, p, n in ends if p >= 3 and p > n}
+    return names, endings | {_translit(z)[-3:] for z in names if z[-3:] in endings}
+
+
+def train(texts: list[str], names: set[str] | None = None, endings: set[str] | None = None) -> Model:
+    """Fits trees and thresholds on the candidates of the given texts. A third is held out to calibrate; without candidates of a type its votes decide. Parts and endings of names are the given ones, else those of the texts."""
     rows: dict[str, list] = {k: [] for k in TYPES}
     for t in texts:
         t = fix_text(t)
@@ -232,19 +280,9 @@ def train(texts: list[str]) -> Model:
         for (a, b, kind), f, v, w in zip(c, *features(t, c)):
             rows[kind].append((f, v, w))
     model = Model()
-    part: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    end: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    for _, v, w in rows["NAME"]:
-        if v:
-            own = [z[2:] for z in w if z.startswith("w:") and len(z) > 5]
-            if v < 0 and any(_CUE_RE["person"].search(z) for z in own):
-                continue  # a cue word before a name says nothing about the name
-            part[v > 0].update(own)
-            end[v > 0].update(z[-3:] for z in own)
-    model.names = {z for z, n in part[True].items() if n > part[False][z] and not any(p.search(z) for p in _CUE_RE.values())}
-    model.names |= {_translit(z) for z in model.names}
-    model.endings = {e for e, n in end[True].items() if n >= 3 and n > end[False][e]}
-    model.endings |= {_translit(z)[-3:] for z in model.names if z[-3:] in model.endings}
+    if names is None:
+        names, endings = _lexicon([(z, p, n) for z, (p, n) in name_votes(texts).items()])
+    model.names, model.endings = names, endings or set()
     for kind in TYPES:
         r = rows[kind]
         labelled = [x for x in r if x[1]]
@@ -314,13 +352,34 @@ def detect(texts: list[str | None], model: Model) -> list[list[tuple[int, int, s
     return out
 
 
+def lexicon(df: DataFrame, text_col: str = "text") -> tuple[set[str], set[str]]:
+    """(parts, endings) of names, by the votes of all distinct texts. What is shuffled are the parts with their text's hash, no text."""
+    src = df.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).where("t IS NOT NULL")
+
+    def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = [(h, z, p, n) for h, t in dict(zip(b.column("h").to_pylist(), b.column("t").to_pylist())).items() for z, (p, n) in name_votes([t]).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["h", "z", "yes", "no"])
+
+    # equal texts give equal rows, so each counts once
+    votes = src.mapInArrow(kernel, "h BIGINT, z STRING, yes INT, no INT").distinct().groupBy("z").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    votes = written(votes, "name-votes")
+    parts = votes.where("yes > no")
+    n = parts.count()
+    if n > MAX_NAME_PARTS:
+        raise ValueError(f"{n} parts of names exceed {MAX_NAME_PARTS}; raise MAX_NAME_PARTS with the executors' memory")
+    ends = votes.groupBy(F.expr("right(z, 3)").alias("e")).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).where("yes >= 3 AND yes > no")
+    return _lexicon([(r.z, r.yes, r.no) for r in parts.collect()], [(r.e, r.yes, r.no) for r in ends.collect()])
+
+
 def trained(df: DataFrame, text_col: str = "text", texts: int = TRAINING_TEXTS) -> Model:
-    """Trains on at most `texts` distinct texts, those with the least hash."""
+    """Trees and thresholds from at most `texts` distinct texts, those with the least hash; parts of names from all texts."""
     rows = df.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    # thinned by the hash first, so that tasks do not each send a whole sample to the driver
-    slots = min(1 << 20, -(-(1 << 20) * 2 * texts // max(1, df.count())))
-    sample = rows.where(F.col("h").bitwiseAND((1 << 20) - 1) < slots).orderBy(F.shiftright("h", 20), "h").limit(texts)
-    return train(sorted({r.t for r in sample.collect()}))
+    # thinned by the hash first, so that tasks do not each send a whole sample to the driver, by twice as many distinct texts as needed
+    distinct = rows.agg(F.approx_count_distinct("h")).first()[0]
+    slots = min(1 << 20, -(-(1 << 20) * 2 * texts // max(1, distinct)))
+    sample = rows.where(F.col("h").bitwiseAND((1 << 20) - 1) < slots).dropDuplicates(["h"]).orderBy(F.shiftright("h", 20), "h").limit(texts)
+    return train(sorted({r.t for r in sample.collect()}), *lexicon(df, text_col))
 
 
 def spans(df: DataFrame, model: Model, keys: tuple[str, ...] = ("src", "text_id"), text_col: str = "text") -> DataFrame:
