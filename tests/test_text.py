@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import spans as R
 from textloom.functions import text as X
+from textloom.plans import registry
 
 CASES = [
     None, "", "   ", "Привіт  світ ", "об’єкт “тест” – так", "кiт і Iрпінь бIб", "Сайт https://a.ua/x?y=1 та www.b.com, пошта a.b@c.ua; тел +38 (067) 123-45-67.",
@@ -100,3 +101,13 @@ def test_feats_and_joint(spark):
     assert [r.s for r in df.collect()] == ["A=1|B=y,x", "_"]
     r = spark.range(1).select(X.split_joint(F.lit("NOUN||Case=Nom|Number=Sing")).alias("j")).first().j
     assert (r.upos, r.feats) == ("NOUN", "Case=Nom|Number=Sing")
+
+
+def test_json_check_sees_every_row(spark, tmp_path):
+    cases = [
+        ('["a", "b"]', True, 2), (' ["a"] ', True, 1), ("[]", True, 0), ('{"a": 1}', True, None), ("null", True, None), ('"x"', True, None), ("['a', 'b']", False, None), ('["a",]', False, None), ("[NaN]", False, None),
+        ('["a"] tail', False, None), ('["a"]["b"]', False, None), ("1, 2", False, None), ("1],[2", False, None), ('1},{"a":2', False, None), ("слово", False, None), ("", False, None), ("  ", False, None), (None, None, None),
+    ]
+    spark.createDataFrame([(i, x) for i, (x, _, _) in enumerate(cases)], "text_id BIGINT, sentences STRING").write.parquet(f"{tmp_path}/processed_v2_sample.parquet")
+    got = {r.text_id: (r.valid, r.n) for r in registry.QUERIES["x21_json_check_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: (v, n) for i, (_, v, n) in enumerate(cases)}

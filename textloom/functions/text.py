@@ -80,6 +80,13 @@ def word_count(t: Column | str) -> Column:
     return F.size(F.filter(F.split(F.coalesce(c(t), F.lit("")), r"(?U)\s+"), lambda x: x != ""))
 
 
+def json_check(t: Column | str) -> Column:
+    """struct(valid, n): whether the whole text is one JSON value, and its length if that is an array. NULL gives NULL; blank text, and an object with a key twice, is invalid."""
+    # the JSON reader stops after the first value; what follows it breaks one wrapping or the other
+    valid = F.when(c(t).isNotNull(), F.try_parse_json(F.concat(F.lit("["), c(t), F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"a":'), c(t), F.lit("}"))).isNotNull())
+    return F.struct(valid.alias("valid"), F.when(valid, F.json_array_length(c(t))).alias("n"))
+
+
 def is_short(t: Column | str, words: int = 5) -> Column:
     return word_count(t) < words
 

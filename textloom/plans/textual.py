@@ -152,6 +152,13 @@ def x21_json_check(s, d):
     return t.select("text_id", v.isNotNull().alias("valid"), F.when(v.isNotNull(), F.json_array_length("sentences")).alias("n"))
 
 
+@query()
+def x21_json_check_all(s, d):
+    """The check of every row, whatever its value begins with: NULL is neither valid nor invalid (NULL), an empty value is invalid. No SQL form, as the engines differ on odd JSON; tested on a fixture."""
+    v = X.json_check("sentences")
+    return reviews(s, d).select("text_id", v["valid"].alias("valid"), v["n"].alias("n"))
+
+
 @query("SELECT text_id, (4 * list_sum(list_transform(string_split(substring(h, 1, 63), ''), lambda x: ('0x' || x)::INT)) + ('0x' || substring(h, 64, 1))::INT)::INT % 6 AS mode FROM (SELECT text_id, sha256(text) AS h FROM processed_v2_sample WHERE text IS NOT NULL)")
 def x22_hash_mode(s, d):
     return reviews(s, d).where("text IS NOT NULL").select("text_id", X.sha_mod6("text").alias("mode"))
