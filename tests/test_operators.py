@@ -145,3 +145,18 @@ def test_streams_use_the_same_columns(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.id, r.clean) for r in spark.table("pre").collect()} == {(1, "Привіт світ."), (2, "")}
+
+
+def test_lsa_over_every_term_is_the_svd(spark):
+    rng = np.random.default_rng(3)
+    a = rng.random((30, 40)) * (rng.random((30, 40)) < 0.4)
+    a[29] = 0
+    a[29, 39] = 0.5  # a document of one term, rare enough to fall out of a bounded vocabulary
+    a[:29, 39] = 0
+    df = spark.createDataFrame([(int(i), f"t{j:02}", float(a[i, j])) for i, j in zip(*np.nonzero(a))], "doc INT, term STRING, weight DOUBLE")
+    got = np.zeros((30, 3))
+    for r in models.lsa(df, k=3, vocabulary=None).collect():
+        got[r.doc, r.topic] = r.score
+    assert {r.doc for r in models.lsa(df, k=3, vocabulary=None).select("doc").collect()} == set(range(30))
+    u, s, _ = np.linalg.svd(a)
+    assert np.allclose(np.abs(got), np.abs(u[:, :3] * s[:3]), atol=1e-4)

@@ -71,7 +71,7 @@ def train_crf(sentences: DataFrame, labels: list[str], buckets: int = 1 << 13, r
     model = Crf(labels, np.zeros((buckets, k)), np.zeros((k, k)))
     ge, gt = np.full((buckets, k), 1e-8), np.full((k, k), 1e-8)
     spark = sentences.sparkSession
-    src = sentences.select("forms", "tags")
+    src = sentences.select("forms", "tags").persist()  # else each round makes the sentences anew
     for _ in range(rounds):
         held = spark.sparkContext.broadcast((model.emission, model.transition))
 
@@ -117,6 +117,7 @@ def train_crf(sentences: DataFrame, labels: list[str], buckets: int = 1 << 13, r
         gt += dt**2
         model.emission = model.emission + rate * de / np.sqrt(ge)
         model.transition = model.transition + rate * dt / np.sqrt(gt)
+    src.unpersist()
     return model
 
 

@@ -150,26 +150,26 @@ def m6_linear_svm(s, d):
 @query()
 def m9_lda(s, d):
     t = reviews(s, d).select("text_id", "text").distinct().withColumn("tokens", X.topic_tokens("text")).where(F.size("tokens") >= 4)
-    return models.lda(t, "tokens", k=5, iterations=5)[1]
+    return models.lda(t, "tokens", k=5, iterations=30)[1]
 
 
 @query()
 def m8_lsa(s, d):
-    return models.lsa(_unit_weights(s, d), k=4, vocabulary=1_000)
+    return models.lsa(_unit_weights(s, d), k=4, vocabulary=None)
 
 
 @query()
 def m10_word2vec(s, d):
     t = reviews(s, d).select("text").distinct().withColumn("tokens", X.embedding_tokens("text"))
-    return models.word2vec(t, "tokens", size=32, iterations=1)
+    return models.word2vec(t, "tokens", size=100, iterations=20)
 
 
 @query()
 def m17_crf(s, d):
     """Tags of the sentences whose number ends in 0 or 5, by a CRF trained on the others: a train and test split."""
     t = _tokens(s, d).groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct("token_id", "form", "upos"))).alias("z")).select("sentence_id", F.col("z.form").alias("forms"), F.col("z.upos").alias("tags"))
-    train = t.where("sentence_id % 5 <> 0").orderBy(F.xxhash64("sentence_id")).limit(1_000)  # the classifier's training bound
-    model = tagging.train_crf(train, ["NUM", "PROPN", "PUNCT", "X"], buckets=1 << 11, rounds=2)
+    train = t.where("sentence_id % 5 <> 0")
+    model = tagging.train_crf(train, ["NUM", "PROPN", "PUNCT", "X"], rounds=200)
     p = tagging.tag_by_crf(t.where("sentence_id % 5 = 0").select("sentence_id", "forms", F.col("tags").alias("gold")), model, ("sentence_id", "gold"))
     z = p.select(F.explode(F.arrays_zip("gold", "pred")).alias("z")).select("z.gold", "z.pred")
     return metrics.report(z)
