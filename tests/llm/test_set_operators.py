@@ -1,11 +1,16 @@
 """Problems 2, 3, 4, 5 and 9: brute force and edge cases."""
 
+import math
+import os
 import random
+import time
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import chars, crosssplit, linking, mixing, neardup, sampling
+from textloom.llm import chars, common, crosssplit, linking, mixing, neardup, sampling
 from textloom.llm.setjoin import word_sets
 
 
@@ -36,12 +41,12 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", j % 3) for j, (i, t) in enumerate(rows)], "text_id BIGINT, text STRING, key STRING, n INT")
 
 
-@pytest.mark.parametrize("limit", [50_000, 1])
-def test_near_duplicates_match_brute_force(spark, limit):
+@pytest.mark.parametrize("limit,hold,strength", [(50_000, 3_000_000, 0), (50_000, 3_000_000, 1), (1, 3_000_000, 0), (2, 3_000_000, 0), (7, 40, 0)])
+def test_near_duplicates_match_brute_force(spark, limit, hold, strength):
     rows = edited_texts()
     df = frame(spark, rows)
     sets = word_sets(df, "text_id", "text").cache()
-    links = neardup.similar_sets(sets, limit=limit)
+    links = neardup.similar_sets(sets, limit=limit, hold=hold, strength=strength)
     got = neardup.pairs_of(sets.select("id", "key", "n").distinct(), links)
     assert {tuple(r) for r in got.collect()} == brute_pairs(rows)
 
@@ -77,13 +82,71 @@ def test_cross_split_matches_brute_force(spark):
     split = {i: ("train", "val", "test", None)[i % 4] for i, _ in rows if i is not None}
     s = spark.createDataFrame([(i, x) for i, x in split.items() if x] + [(0, "train"), (99_999, "val")], "text_id BIGINT, split STRING")
     df = frame(spark, rows).withColumn("source", F.lit("q")).withColumn("split", F.lit("other")).drop("split")
-    m, l = crosssplit.cross_split(df, s)
+    m, l = crosssplit.jaccard_split(df, s)
     want = {(a, b) for a, b in brute_pairs(rows) if split[a] and split[b] and (split[a] == "train") != (split[b] == "train")}
     assert {tuple(r) for r in crosssplit.pairs_of(m, l).collect()} == want
     leaked = {i for p in want for i in p if split[i] != "train"}
     assert sum(r.leaked for r in crosssplit.counts_of(m, l).collect()) == len(leaked)
     m, l = crosssplit.cross_split(df.limit(0), s)
     assert crosssplit.pairs_of(m, l).isEmpty()
+    m, l = crosssplit.jaccard_split(df, s, cell=2)
+    assert {tuple(r) for r in crosssplit.pairs_of(m, l).collect()} == want
+
+
+@pytest.mark.parametrize("weights,t,cell,seed", [("unit", 6 / 7, 20_000, 1), ("idf", 0.8, 20_000, 2), ("random", 0.8, 20_000, 3), ("random", 0.6, 1, 4), ("random", 0.9, 3, 5)])
+def test_weighted_join_finds_every_pair(weights, t, cell, seed):
+    rng = np.random.default_rng(seed)
+    vocab = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    docs = []
+    for _ in range(60):
+        base = rng.choice(vocab, rng.integers(5, 40), replace=False)
+        for _ in range(4):
+            docs.append(np.unique(np.concatenate([base[rng.random(len(base)) < 0.9], rng.choice(vocab, rng.integers(1, 4))])))
+    flat, at = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(x) for x in docs])])
+    counts = np.bincount(crosssplit._bucket(flat), minlength=crosssplit.BUCKETS)
+    weight = rng.lognormal(0, 1, crosssplit.BUCKETS) if weights == "random" else crosssplit.term_weights(counts, len(docs), weights)
+    d, term, *values = crosssplit.listed(flat, at, counts, weight, t)
+    p = np.empty(len(d), dtype=crosssplit._POST)
+    for name, v in zip(("w", "norm", "rest", "max", "sum", "least"), values):
+        p[name] = v
+    wide, narrow = crosssplit.sketches(flat, at[:-1])
+    p["key"], p["wide"], p["narrow"], p["side"] = d, wide[d], narrow[d], d % 2
+    i, lists = crosssplit.cells(term, p["key"].copy(), p["side"], counts[crosssplit._bucket(term)], cell)
+    p = p[i]
+    p["term"] = (lists >> np.uint64(32)).astype(np.uint32)
+    met = {tuple(x) for x in crosssplit.met_in(np.concatenate([p, p]), t).tolist()}
+    unit = [dict(zip(x.tolist(), (weight[crosssplit._bucket(x)] / np.sqrt(np.square(weight[crosssplit._bucket(x)]).sum())).tolist())) for x in docs]
+    dot = lambda x, y: sum(v * unit[y].get(k, 0.0) for k, v in unit[x].items())
+    want = {(x, y) for x in range(0, len(docs), 2) for y in range(1, len(docs), 2) if dot(x, y) >= t}
+    assert want and want <= met and len(met) < len(docs) ** 2 / 4
+
+
+def test_idf_weights_are_exact(spark):
+    rows = [(i, t) for i, t in edited_texts(9) if i is not None]
+    s = spark.createDataFrame([(i, "train" if i % 2 else "test") for i, _ in rows], "text_id BIGINT, split STRING")
+    m, l = crosssplit.cross_split(frame(spark, rows), s, cosine=0.7)
+    sets = {i: set(chars.words(t)) for i, t in rows if t}
+    sets = {i: x for i, x in sets.items() if len(x) >= 14}
+    n, df = len([1 for i, t in rows if i in sets]), Counter(w for i, t in rows if i in sets for w in sets[i])
+    square = lambda x: sum(math.log1p(n / df[w]) ** 2 for w in x)
+    want = {(min(a, b), max(a, b)) for a in sets for b in sets if a % 2 == 0 and b % 2 and square(sets[a] & sets[b]) / math.sqrt(square(sets[a]) * square(sets[b])) >= 0.7}
+    assert {tuple(r) for r in crosssplit.pairs_of(m, l).collect()} == want
+    assert {r.text_id for r in crosssplit.classes_of(m, l).collect()} == {i for p in want for i in p if i % 2 == 0}
+
+
+def test_a_text_in_many_batches_is_paired_once():
+    p = np.zeros(60_000, dtype=crosssplit._POST)
+    p["term"], p["w"], p["max"], p["sum"], p["least"], p["side"] = 1, 1, 1, 1, 1, np.arange(len(p)) % 2
+    began = time.time()
+    assert crosssplit.met_in(p, 0.8).tolist() == [[0, 0]] and time.time() - began < 2
+
+
+def test_written_tables_are_deleted(spark, tmp_path):
+    t = common.written(spark.range(5), "x")
+    path = t.inputFiles()[0].removeprefix("file:").replace("///", "/")
+    assert os.path.exists(path) and t.count() == 5
+    common.dropped(t, spark.range(3))
+    assert not os.path.exists(path)
 
 
 def test_sample_follows_targets(spark):

@@ -5,12 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_TABLES: dict[str, set[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,12 +28,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_table_path"] = path
+    _TABLES.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return out
 
 
-def batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a kernel over record batches."""
-    return df.mapInArrow(kernel, schema)
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _TABLES.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing will read again."""
+    for t in tables:
+        path = t.__dict__.get("_table_path")
+        if path:
+            _delete(t.sparkSession, path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes every table this application wrote in the shared folder and still keeps for lazy results; to be called when the results have been stored. Returns how many."""
+    left = list(_TABLES.get(spark.sparkContext.applicationId, ()))
+    for path in left:
+        _delete(spark, path)
+    return len(left)
 
 
 def partitions_for(spark: SparkSession, least: int = 1) -> int:

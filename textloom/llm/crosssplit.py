@@ -1,17 +1,22 @@
 """Problem 3: records of evaluation splits that also stand, exactly or nearly, in the training split.
 
-A cosine join of term-weight vectors between the two sides. Terms are put in one global order, rare ones first; a vector
-lists only the terms before which its residual norm still reaches the threshold. Two vectors whose first common term
-stands at positions i and j can have a dot product of at most w*v + |rest x|*|rest y| (residual norms) and of at most
-w*v + sum(rest x)*max(y) (maximum weights); posting pairs below the threshold are dropped, then those whose parity
-sketches differ too much; dot products of the rest are exact.
-
-With unit weights a Jaccard similarity g of sets implies a cosine of 2g/(1+g), which is the threshold of the join when
-the pairs asked for are defined by Jaccard.
+A cosine join of term-weight vectors between the two sides. A vector has a weight per distinct word (inverse document
+frequency, or 1) and unit length. Terms are put in one global order, rare ones first; a vector lists only the terms from
+which on its residual norm still reaches the threshold t. Of two vectors x, y that list a term, the dot product is at most
+
+* sum(x) * max(y) and sum(y) * max(x), whole vectors (maximum weights): one range of the list sorted by maximum weight;
+* 1 - H * min(least squared weights) / 2, H the Hamming distance of their parity sketches, since the squared distance of
+  the vectors is 2 - 2 * dot and every word of one of them only adds its squared weight to it;
+* w(x) * w(y) + min(|rest x| * |rest y|, sum(rest x) * max(y), sum(rest y) * max(x)), if this is their first common term
+  (residual norms and maximum weights); a pair is met there in any case.
+
+Pairs below t by any of these are dropped, the dot products of the rest are exact. A list of a term that many vectors
+share is cut into a grid of cells, so that no task holds or pairs more than a fixed number of postings of a term.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, written
-from .setjoin import by_partition, distance, flat_sets, mix, sketches, verified, word_sets
+from .common import dropped, partitions_for, written
+from .setjoin import by_partition, distance, flat_sets, in_bloom, bloom, mix, sketches, word_sets
 
-#: Terms are counted in a table of fixed size (4 bytes each, 1 MB): exact order is only a matter of speed, any one global order is right.
+#: Documents of a term are counted by hash bucket in a table of fixed size (1 MB): the order of terms only affects speed, and the idf of a term is that of its bucket.
 BUCKETS = 1 << 18
-_POST = np.dtype([("term", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("key", "<i8"), ("wide", "<u8"), ("narrow", "<u4"), ("side", "u1")])
+#: Postings of one term and side in a cell.
+CELL = 20_000
+_POST = np.dtype([("term", "<u4"), ("w", "<f4"), ("norm", "<f4"), ("rest", "<f4"), ("max", "<f4"), ("sum", "<f4"), ("least", "<f4"), ("key", "<i8"), ("wide", "<u8"), ("narrow", "<u4"), ("side", "u1")])
+_SLACK = 1e-5  # weights travel as 32-bit numbers
+_SALT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _bucket(terms: np.ndarray) -> np.ndarray:
+    return (terms & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def term_counts(sets: DataFrame) -> np.ndarray:
@@ -34,7 +47,7 @@ def term_counts(sets: DataFrame) -> np.ndarray:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for b in it:
             flat, _ = flat_sets(b.column("toks"))
-            total += np.bincount((flat & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            total += np.bincount(_bucket(flat), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
@@ -44,27 +57,64 @@ def term_counts(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def _postings(sets: DataFrame, counts, parts: int, t2: float) -> DataFrame:
-    """(pid, blob): postings of the prefix terms of each set, rarest first, by the partition that holds the term's list; equal sets of one side are posted once a batch."""
+def term_weights(counts: np.ndarray, sets: int, weights: str) -> np.ndarray:
+    """The weight of a term by bucket: "idf" is log(1 + sets / documents), "unit" is 1."""
+    if weights == "unit":
+        return np.ones(BUCKETS)
+    if weights != "idf":
+        raise ValueError("weights must be 'idf' or 'unit'")
+    return np.log1p(max(1, sets) / np.maximum(counts, 1))
+
+
+def listed(flat: np.ndarray, at: np.ndarray, counts: np.ndarray, weight: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
+    """(vector, term, w, norm, rest, max, sum, least) of the terms that each of the vectors lists, norm and rest being the length and the sum of what follows."""
+    n = np.diff(at)
+    doc = np.repeat(np.arange(len(n)), n)
+    raw = weight[_bucket(flat)]
+    length = np.sqrt(np.add.reduceat(raw * raw, at[:-1]))
+    o = np.lexsort((flat, counts[_bucket(flat)], doc))
+    term, w = flat[o], raw[o] / length[doc]
+    done = np.cumsum(w * w)
+    before = done - w * w - (done - w * w)[at[:-1]][doc]
+    added = np.cumsum(w)
+    total = np.add.reduceat(w, at[:-1])
+    rest = total[doc] - (added - (added - w)[at[:-1]][doc])
+    own = 1 - before >= t * t - 1e-9
+    d = doc[own]
+    return d, term[own], w[own], np.sqrt(np.maximum(0, 1 - before - w * w))[own], np.maximum(rest, 0)[own], np.maximum.reduceat(w, at[:-1])[d], total[d], np.minimum.reduceat(w * w, at[:-1])[d]
+
+
+def cells(term: np.ndarray, key: np.ndarray, side: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(posting, list): the list or lists that each posting goes to. Of a term with more than `size` documents evaluation postings choose a row, training postings a column of a grid of lists, and each goes to all cells of it: any two of different sides meet in one cell."""
+    s = np.maximum(1, -(-count // size))
+    at = np.repeat(np.arange(len(term)), s)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(s) - s, s)
+    own = (mix(key.view(np.uint64))[at] % s[at].astype(np.uint64)).astype(np.int64)
+    row, col = np.where(side[at] == 1, other, own), np.where(side[at] == 1, own, other)
+    return at, mix(term[at] + (row * s[at] + col).astype(np.uint64) * _SALT)
+
+
+def _postings(sets: DataFrame, held, parts: int, t: float, cell: int) -> DataFrame:
+    """(pid, blob): postings of each vector by the partition that holds the term's list; equal sets of one side are posted once a batch."""
 
     def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = counts.value
+        counts, weight = held.value
         for b in it:
             both = np.stack([b.column("key").to_numpy(), b.column("side").to_numpy().astype(np.int64)], axis=1)
             uniq, first = np.unique(both, axis=0, return_index=True)
             flat, at = flat_sets(b.column("toks").take(pa.array(first)))
-            n = np.diff(at)
             if not len(flat):
                 continue
             wide, narrow = sketches(flat, at[:-1])
-            doc = np.repeat(np.arange(len(n)), n)
-            o = np.lexsort((flat, rank[(flat & np.uint64(BUCKETS - 1)).astype(np.int64)], doc))
-            term, pos = flat[o], np.arange(len(flat)) - np.repeat(at[:-1], n)
-            own = (n[doc] - pos) >= t2 * n[doc] - 1e-9  # the squared residual norm before this term, of 1 for the whole vector
-            p = np.empty(int(own.sum()), dtype=_POST)
-            d = doc[own]
-            p["term"], p["n"], p["pos"], p["key"], p["wide"], p["narrow"], p["side"] = term[own], n[d], pos[own], uniq[d, 0], wide[d], narrow[d], uniq[d, 1]
-            pid = (mix(p["term"]) % np.uint64(parts)).astype(np.int32)
+            d, term, *values = listed(flat, at, counts, weight, t)
+            p = np.empty(len(d), dtype=_POST)
+            for name, v in zip(("w", "norm", "rest", "max", "sum", "least"), values):
+                p[name] = v
+            p["key"], p["wide"], p["narrow"], p["side"] = uniq[d, 0], wide[d], narrow[d], uniq[d, 1]
+            i, lists = cells(term, p["key"].copy(), p["side"], counts[_bucket(term)], cell)
+            p = p[i]
+            p["term"] = (lists >> np.uint64(32)).astype(np.uint32)
+            pid = ((lists & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int32)
             o = np.argsort(pid, kind="stable")
             pid, p = pid[o], p[o]
             cut = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1]]))
@@ -73,7 +123,47 @@ def _postings(sets: DataFrame, counts, parts: int, t2: float) -> DataFrame:
     return sets.select("key", "side", "toks").mapInArrow(kernel, "pid INT, blob BINARY")
 
 
-def _probe(postings: DataFrame, num: int, den: int) -> DataFrame:
+def met_in(p: np.ndarray, t: float) -> np.ndarray:
+    """Rows (evaluation key, training key) of the postings of some lists whose bounds reach t. A set posted several times counts once."""
+    t -= _SLACK
+    o = np.lexsort((p["key"], p["side"], p["term"]))
+    term, side, key = p["term"][o], p["side"][o], p["key"][o]
+    once = np.concatenate([[True], (term[1:] != term[:-1]) | (side[1:] != side[:-1]) | (key[1:] != key[:-1])])
+    p = p[o[once]]
+    p = p[np.lexsort((-p["max"], p["side"], p["term"]))]
+    cut = np.flatnonzero(np.concatenate([[True], p["term"][1:] != p["term"][:-1]]))
+    found, kept = [np.empty((0, 2), dtype=np.int64)], 0
+    for s, e in zip(cut, np.concatenate([cut[1:], [len(p)]])):
+        mid = s + int(np.searchsorted(p["side"][s:e], 1))
+        if mid == s or mid == e:
+            continue
+        x, y = {c: p[c][s:mid].copy() for c in _POST.names}, {c: p[c][mid:e].copy() for c in _POST.names}
+        hi = np.searchsorted(-y["max"], -t / x["sum"], side="right")
+        lo = np.minimum(np.searchsorted(np.maximum.accumulate(y["sum"]), t / x["max"]), hi)
+        width = hi - lo
+        ends = np.cumsum(width)
+        a = 0
+        while a < len(width):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 2_000_000, side="right")))
+            w = width[a:b]
+            i = np.repeat(np.arange(a, b), w)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(lo[a:b], w)
+            a = b
+            ok = distance(x["wide"][i], x["narrow"][i], y["wide"][j], y["narrow"][j]) * np.minimum(x["least"][i], y["least"][j]) <= 2 * (1 - t)
+            i, j = i[ok], j[ok]
+            ok = y["sum"][j] * x["max"][i] >= t
+            i, j = i[ok], j[ok]
+            after = np.minimum(x["norm"][i] * y["norm"][j], np.minimum(x["rest"][i] * y["max"][j], y["rest"][j] * x["max"][i]))
+            ok = x["w"][i] * y["w"][j] + after >= t
+            if ok.any():
+                found.append(np.stack([x["key"][i[ok]], y["key"][j[ok]]], axis=1))
+                kept += len(found[-1])
+                if kept > 2_000_000:
+                    found, kept = [np.unique(np.concatenate(found), axis=0)], 0
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _probe(postings: DataFrame, t: float) -> DataFrame:
     """(a, b): keys of an evaluation set and a training set whose bounds allow the threshold."""
 
     def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,63 +172,78 @@ def _probe(postings: DataFrame, num: int, den: int) -> DataFrame:
             return
         p = np.concatenate(held)
         held.clear()
-        p = p[np.lexsort((p["n"], p["side"], p["term"]))]
-        cut = np.flatnonzero(np.concatenate([[True], p["term"][1:] != p["term"][:-1]]))
-        found, kept = [], 0
+        pairs = met_in(p, t)
+        for s in range(0, len(pairs), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[s:s + 100_000, 0].copy()), pa.array(pairs[s:s + 100_000, 1].copy())], names=["a", "b"])
 
-        def flush() -> np.ndarray:
-            return np.unique(np.concatenate(found), axis=0)
+    return postings.mapInArrow(kernel, "a BIGINT, b BIGINT")
 
-        for s, e in zip(cut, np.concatenate([cut[1:], [len(p)]])):
-            mid = s + int(np.searchsorted(p["side"][s:e], 1))
-            if mid == s or mid == e:
-                continue
-            x, y = p[s:mid], p[mid:e]  # evaluation, train; both by size
-            yn = y["n"].astype(np.int64)
-            lo, hi = np.searchsorted(yn, -(-x["n"].astype(np.int64) * num // den)), np.searchsorted(yn, x["n"].astype(np.int64) * den // num, side="right")
-            for a in range(0, len(x), 2_000):
-                c = hi[a:a + 2_000] - lo[a:a + 2_000]
-                for part in np.array_split(np.arange(a, a + len(c)), max(1, int(c.sum() // 2_000_000))):
-                    w = (hi - lo)[part]
-                    i = np.repeat(part, w)
-                    j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(lo[part], w)
-                    nx, ny = x["n"][i].astype(np.int64), yn[j]
-                    # unit weights: residual norms and maximum weights both bound the overlap by what is left of either set
-                    ok = (1 + np.minimum(nx - x["pos"][i], ny - y["pos"][j]) - 1) * (num + den) >= num * (nx + ny)
-                    i, j, nx, ny = i[ok], j[ok], nx[ok], ny[ok]
-                    ok = distance(x["wide"][i], x["narrow"][i], y["wide"][j], y["narrow"][j]) * (num + den) <= (nx + ny) * (den - num)
-                    if ok.any():
-                        found.append(np.stack([x["key"][i[ok]], y["key"][j[ok]]], axis=1))
-                        kept += len(found[-1])
-                        if kept > 2_000_000:
-                            found[:] = [flush()]
-                            kept = 0
-        if found:
-            pairs = flush()
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-    return postings.mapInArrow(kernel, "a BIGINT, b BIGINT")
+def _dots(pairs: DataFrame, sets: DataFrame, held, t: float) -> DataFrame:
+    """(a, b, dot, overlap, union_size): of candidate pairs those whose exact dot product reaches t, with the number of common words and of all words. Only sets that a fixed-size Bloom filter of the candidates lets through are shuffled to them."""
+    bits = sets.sparkSession.sparkContext.broadcast(bloom(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key"))
+
+    def asked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            _, first = np.unique(b.column("key").to_numpy(), return_index=True)
+            b = b.take(pa.array(np.sort(first)))
+            yield b.filter(pa.array(in_bloom(bits.value, b.column("key").to_numpy())))
+
+    own = sets.select("key", "toks").mapInArrow(asked, "key BIGINT, toks BINARY").groupBy("key").agg(F.min("toks").alias("toks"))
+    both = pairs.join(own.withColumnsRenamed({"key": "a", "toks": "ta"}), "a").join(own.withColumnsRenamed({"key": "b", "toks": "tb"}), "b")
+
+    def exact(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = held.value[1]
+        for b in it:
+            rows = []
+            for k, (x, y) in enumerate(zip(b.column("ta").to_pylist(), b.column("tb").to_pylist())):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = np.intersect1d(p, q, assume_unique=True)
+                square = lambda s: float(np.square(weight[_bucket(s)]).sum())
+                dot = square(common) / math.sqrt(square(p) * square(q))
+                if dot >= t - 1e-9:
+                    rows.append((k, dot, len(common), len(p) + len(q) - len(common)))
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("a").take(at), b.column("b").take(at), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32())],
+                names=["a", "b", "dot", "overlap", "union_size"],
+            )
+
+    return both.select("a", "b", "ta", "tb").mapInArrow(exact, "a BIGINT, b BIGINT, dot DOUBLE, overlap INT, union_size INT")
 
 
-def cross_split(texts: DataFrame, splits: DataFrame, least: int = 14, num: int = 3, den: int = 4, train: str = "train", evaluation: tuple[str, ...] = ("val", "test")) -> tuple[DataFrame, DataFrame]:
+def cross_split(
+    texts: DataFrame, splits: DataFrame, least: int = 14, cosine: float = 0.8, weights: str = "idf", train: str = "train", evaluation: tuple[str, ...] = ("val", "test"), cell: int = CELL
+) -> tuple[DataFrame, DataFrame]:
     """The operator: (members, links).
 
-    members (id, split, source, key, side): each distinct id with a split and enough words (side 1 is training), links
-    (a, b, overlap, union_size): evaluation set key and training set key, also where both are the same key. Ids without
-    a split, NULL, empty, blank and short texts take no part; repeated rows of either table count once."""
+    members (id, split, source, key, side, n): each distinct id with a split and enough words (side 1 is training), links
+    (a, b, dot, overlap, union_size): evaluation set key and training set key with a cosine of at least `cosine`, also
+    where both are the same key. Ids without a split, NULL, empty, blank and short texts take no part; repeated rows of
+    either table count once; other columns are ignored."""
     spark = texts.sparkSession
     s = splits.select(F.col("text_id").alias("id"), "split").where(F.col("split").isin(train, *evaluation)).distinct()
     t = texts.select(F.col("text_id").alias("id"), "text", *(["source"] if "source" in texts.columns else [F.lit(None).cast("string").alias("source")]))
     joined = t.join(s, "id").withColumn("side", (F.col("split") == train).cast("int"))
     sets = written(word_sets(joined, "id", "text", least, ("split", "source", "side")), "sets")
-    counts = spark.sparkContext.broadcast(term_counts(sets))
-    parts = partitions_for(spark, 1 + sets.count() * 12 // 400_000)  # about 13 MB of postings each
-    cos = 2 * num / (num + den)
-    met = written(_probe(by_partition(_postings(sets, counts, parts, cos * cos), parts), num, den), "met").distinct()
-    different = verified(met.where("a <> b"), sets, num, den)
-    members = sets.select("id", "split", "source", "key", "side", "n").distinct()
-    same = members.groupBy("key").agg(F.min("side").alias("lo"), F.max("side").alias("hi"), F.min("n").alias("n")).where("lo < hi").select(F.col("key").alias("a"), F.col("key").alias("b"), F.col("n").alias("overlap"), F.col("n").alias("union_size"))
-    return members, written(different.unionByName(same), "links")
+    n = sets.count()
+    counts = term_counts(sets)
+    held = spark.sparkContext.broadcast((counts, term_weights(counts, n, weights)))
+    parts = partitions_for(spark, 1 + n * 12 // 300_000)  # about 13 MB of postings each
+    met = written(_probe(by_partition(_postings(sets, held, parts, cosine, cell), parts), cosine), "met")
+    pairs = written(met.where("a <> b").distinct(), "pairs")
+    members = written(sets.select("id", "split", "source", "key", "side", "n").distinct(), "members")
+    same = members.groupBy("key").agg(F.min("side").alias("lo"), F.max("side").alias("hi"), F.min("n").alias("n")).where("lo < hi")
+    same = same.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("dot"), F.col("n").alias("overlap"), F.col("n").alias("union_size"))
+    links = written(_dots(pairs, sets, held, cosine).unionByName(same), "links")
+    dropped(met, pairs, sets)
+    return members, links
+
+
+def jaccard_split(texts: DataFrame, splits: DataFrame, least: int = 14, num: int = 3, den: int = 4, **more) -> tuple[DataFrame, DataFrame]:
+    """The operator for pairs defined by a Jaccard similarity g = num/den of word sets: with unit weights g implies a cosine of 2g/(1+g), so the join with that threshold loses none; the exact similarity follows from its common and all words."""
+    members, links = cross_split(texts, splits, least, 2 * num / (num + den), "unit", **more)
+    return members, links.where(F.col("overlap") * den >= F.col("union_size") * num)
 
 
 def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -156,3 +261,9 @@ def counts_of(members: DataFrame, links: DataFrame) -> DataFrame:
     return ev.join(per, "key", "left").groupBy("split", "source").agg(
         F.countDistinct("id").alias("texts"), F.count_distinct(F.when(F.col("links").isNotNull(), F.col("id"))).alias("leaked"), F.coalesce(F.sum("links"), F.lit(0)).alias("links")
     )
+
+
+def classes_of(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(text_id, split, source, class_id, links, best): one row per evaluation id with a training counterpart; class_id is shared by ids with the same set of words, links counts the training sets near it, best is the largest cosine."""
+    per = links.groupBy("a").agg(F.count("*").alias("links"), F.round(F.max("dot"), 6).alias("best")).withColumnRenamed("a", "key")
+    return members.where("side = 0").groupBy("id", "split", "key").agg(F.min("source").alias("source")).join(per, "key").select(F.col("id").alias("text_id"), "split", "source", F.col("key").alias("class_id"), "links", "best")

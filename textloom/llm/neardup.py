@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, written
-from .setjoin import bloom, by_partition, close_pairs, distance, flat_sets, in_bloom, mix, sketches, verified, word_sets
+from .common import dropped, partitions_for, written
+from .setjoin import by_partition, close_pairs, cross_pairs, distance, flat_sets, mix, sketches, verified, word_sets
 
 #: Sizes beyond MOST are stored as MOST and not thinned by size.
 MOST = 65_535
@@ -108,74 +108,123 @@ def _entries(sets: DataFrame, parts: int, least: int, num: int, den: int, streng
     return sets.select("key", "toks").mapInArrow(kernel, "pid INT, blob BINARY")
 
 
-def _meet(entries: DataFrame, num: int, den: int, limit: int) -> DataFrame:
-    """(a, b): pairs of keys with a signature in common, a size ratio and a sketch distance that allow the similarity. (key, NULL): sets of buckets larger than `limit`, left to a stronger round."""
+def _once(e: np.ndarray) -> np.ndarray:
+    """Entries sorted by signature and key, each once."""
+    e = e[np.lexsort((e["key"], e["sig"]))]
+    return e[np.concatenate([[True], (e["sig"][1:] != e["sig"][:-1]) | (e["key"][1:] != e["key"][:-1])])] if len(e) else e
+
+
+class _Near:
+    """Whether sizes and sketches allow entry i of one list and entry j of another to be similar enough."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, num: int, den: int):
+        self.x, self.y = ({c: e[c].astype(np.int64) if c == "n" else e[c].copy() for c in ("n", "wide", "narrow")} for e in (x, y))
+        self.num, self.den = num, den
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        x, y, num, den = self.x, self.y, self.num, self.den
+        p, q = x["n"][i], y["n"][j]
+        ok = (np.minimum(p, q) * den >= np.maximum(p, q) * num) & (distance(x["wide"][i], x["narrow"][i], y["wide"][j], y["narrow"][j]) * (num + den) <= (p + q) * (den - num))
+        return ok | (p == MOST) | (q == MOST)
+
+
+def _rows(pairs: np.ndarray | None = None, chunks: list[tuple[int, int, np.ndarray]] = ()) -> Iterator[pa.RecordBatch]:
+    """Output batches (a, b, grp, chunk, blob) of `_meet`: pairs, or the chunks of a group."""
+    if pairs is not None:
+        for s in range(0, len(pairs), 100_000):
+            x = pairs[s:s + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy()), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.binary())], names=_MEET)
+    for grp, chunk, e in chunks:
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([grp], pa.int64()), pa.array([chunk], pa.int32()), pa.array([e.tobytes()], pa.binary())], names=_MEET)
+
+
+_MEET = ["a", "b", "grp", "chunk", "blob"]
+
+
+def _meet(entries: DataFrame, num: int, den: int, limit: int, hold: int) -> DataFrame:
+    """(a, b): pairs of keys with a signature in common, a size ratio and a sketch distance that allow the similarity. (grp, chunk, blob): entries of buckets larger than `limit`, or of a partition larger than `hold`, in chunks of at most `limit`, to be compared chunk by chunk."""
 
     def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x, dtype=_ENTRY) for b in it for x in b.column("blob").to_pylist()]
+        held, size, given, pid = [], 0, 0, 0
+        for b in it:
+            for pid, x in zip(b.column("pid").to_pylist(), b.column("blob").to_pylist()):
+                held.append(np.frombuffer(x, dtype=_ENTRY))
+                size += len(held[-1])
+                if size > hold:
+                    held = [_once(np.concatenate(held))]
+                    size = len(held[0])
+                    if size > hold // 2:  # a partition out of proportion leaves this task as it comes
+                        for s in range(0, size, limit):
+                            yield from _rows(chunks=[(pid, given, held[0][s:s + limit])])
+                            given += 1
+                        held, size = [], 0
         if not held:
             return
-        e = np.concatenate(held)
+        e = _once(np.concatenate(held))
         held.clear()
-        o = np.lexsort((e["key"], e["sig"]))
-        e = e[o]
-        e = e[np.concatenate([[True], (e["sig"][1:] != e["sig"][:-1]) | (e["key"][1:] != e["key"][:-1])])]
+        if given:
+            for s in range(0, len(e), limit):
+                yield from _rows(chunks=[(pid, given, e[s:s + limit])])
+                given += 1
+            return
         same = e["sig"][1:] == e["sig"][:-1]
-        e = e[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        sig, n, key, wide, narrow = e["sig"].copy(), e["n"].astype(np.int64), e["key"].copy(), e["wide"].copy(), e["narrow"].copy()
-        del e
+        e = e[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(e) > 1 else e[:0]
+        sig = e["sig"].copy()
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
         length = np.diff(np.concatenate([start, [len(sig)]]))
-        big = np.repeat(length > limit, length)
-        over = np.unique(key[big])
-        sig, n, key, wide, narrow = sig[~big], n[~big], key[~big], wide[~big], narrow[~big]
+        for s, n in zip(start[length > limit].tolist(), length[length > limit].tolist()):
+            grp = -(pid * (1 << 32) + int(sig[s]) + 1)
+            for k in range(0, n, limit):
+                yield from _rows(chunks=[(grp, k // limit, e[s + k:min(s + n, s + k + limit)])])
+        small = e[~np.repeat(length > limit, length)]
+        yield from _rows(close_pairs(small["sig"].copy(), small["key"].copy(), _Near(small, small, num, den)))
 
-        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            p, q = n[i], n[j]
-            ok = (np.minimum(p, q) * den >= np.maximum(p, q) * num) & (distance(wide[i], narrow[i], wide[j], narrow[j]) * (num + den) <= (p + q) * (den - num))
-            return ok | (p == MOST) | (q == MOST)
+    return entries.mapInArrow(kernel, "a BIGINT, b BIGINT, grp BIGINT, chunk INT, blob BINARY")
 
-        pairs = close_pairs(sig, key, near)
-        a = np.concatenate([pairs[:, 0], over])
-        for s in range(0, len(a), 100_000):
-            t = np.arange(s, min(s + 100_000, len(a)))
-            yield pa.RecordBatch.from_arrays([pa.array(a[t]), pa.array([int(pairs[x, 1]) if x < len(pairs) else None for x in t], pa.int64())], names=["a", "b"])
 
-    return entries.mapInArrow(kernel, "a BIGINT, b BIGINT")
+def _chunk_pairs(chunks: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """(a, b): the same pairs from a table of chunks (grp, chunk, blob): each two chunks of a group are one cell, and cells are spread over the tasks."""
+    most = chunks.groupBy("grp").agg(F.max("chunk").alias("q"))
+    cell = chunks.join(most, "grp").withColumn("other", F.explode(F.expr("sequence(0, q)"))).select("grp", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "blob")
 
+    def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, left = None, None
+        for b in it:
+            for g, i, j, blob in zip(*(b.column(c).to_pylist() for c in ("grp", "i", "j", "blob"))):
+                e = np.frombuffer(blob, dtype=_ENTRY)
+                e = e[np.argsort(e["sig"], kind="stable")]
+                if i == j:
+                    yield from _pair_rows(close_pairs(e["sig"].copy(), e["key"].copy(), _Near(e, e, num, den)))
+                elif before == (g, i, j):
+                    yield from _pair_rows(cross_pairs(left["sig"].copy(), left["key"].copy(), e["sig"].copy(), e["key"].copy(), _Near(left, e, num, den)))
+                else:
+                    before, left = (g, i, j), e
 
-def similar_sets(sets: DataFrame, least: int = 14, num: int = 3, den: int = 4, limit: int = 50_000) -> DataFrame:
-    """(a, b, overlap, union_size): every pair a < b of different set keys with a Jaccard similarity of at least num/den.
+    return cell.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "chunk").mapInArrow(kernel, "a BIGINT, b BIGINT")
 
-    `sets` is a written table (key, n, toks). Buckets of more than `limit` sets go to another round with stronger
-    signatures instead of being compared here; the last round compares whatever is left, so nothing is lost."""
-    spark, found, current = sets.sparkSession, [], sets
-    count = sets.count()
-    strength = int(count > 4_000_000) + int(count > 60_000_000)
-    for strength in range(strength, strength + 4):
-        last = strength >= 3 or len(found) == 3
-        parts = partitions_for(spark, 1 + count * 50 // 600_000)  # about 16 MB of signatures each
-        met = written(_meet(by_partition(_entries(current, parts, least, num, den, strength), parts), num, den, 1 << 40 if last else limit), "met")
-        found.append(met.where("b IS NOT NULL"))
-        over = met.where("b IS NULL").select(F.col("a").alias("key")).distinct()
-        if last or over.isEmpty():
-            break
-        current = _only(sets, over)
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return verified(pairs.distinct(), sets, num, den)
 
+def _pair_rows(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for b in _rows(pairs):
+        yield b.select(["a", "b"])
 
-def _only(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """The sets with one of the keys, and few others: a fixed-size filter instead of a shuffle of all sets; more sets only mean more work."""
-    bits = sets.sparkSession.sparkContext.broadcast(bloom(keys, "key"))
 
-    def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            yield b.filter(pa.array(in_bloom(bits.value, b.column("key").to_numpy())))
+def similar_sets(sets: DataFrame, least: int = 14, num: int = 3, den: int = 4, limit: int = 50_000, strength: int = 0, hold: int = 3_000_000) -> DataFrame:
+    """(a, b, overlap, union_size): every pair a < b of different set keys with a Jaccard similarity of at least num/den.
 
-    return sets.select("key", "toks").mapInArrow(kernel, "key BIGINT, toks BINARY")
+    `sets` is a written table (key, n, toks). Buckets of more than `limit` sets, and partitions of more than `hold`
+    entries, are compared in pairs of chunks of at most `limit`, spread over tasks: nothing is left out, and no task holds
+    more. `strength` 1 or 2 signs larger subsets more often, worth it from some ten million sets on."""
+    spark = sets.sparkSession
+    parts = partitions_for(spark, 1 + sets.count() * 50 // 600_000)  # about 16 MB of signatures each
+    met = written(_meet(by_partition(_entries(sets, parts, least, num, den, strength), parts), num, den, limit, hold), "met")
+    pairs = met.where("a IS NOT NULL").select("a", "b")
+    chunks = met.where("grp IS NOT NULL").select("grp", "chunk", "blob")
+    if not chunks.isEmpty():
+        pairs = pairs.unionByName(_chunk_pairs(chunks, num, den, parts))
+    distinct = written(pairs.distinct(), "pairs")
+    out = written(verified(distinct, sets, num, den), "similar")
+    dropped(met, distinct)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "text_id", text_col: str = "text", least: int = 14, num: int = 3, den: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -185,7 +234,10 @@ def near_duplicates(df: DataFrame, id_col: str = "text_id", text_col: str = "tex
     with equal sets share a key. links (a, b, overlap, union_size): pairs of different keys that are similar. Repeated
     rows count once; NULL ids and NULL, empty, blank or short texts take no part; other columns are ignored."""
     sets = written(word_sets(df, id_col, text_col, least), "sets")
-    return sets.select("id", "key", "n").distinct(), written(similar_sets(sets, least, num, den), "links")
+    links = similar_sets(sets, least, num, den)
+    members = written(sets.select("id", "key", "n").distinct(), "members")
+    dropped(sets)
+    return members, links
 
 
 def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -22,12 +22,20 @@ def p1_units(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(_t(spark, d, "processed_v2_sample")).withColumnRenamed("id", "text_id").distinct()
 
 
+def _p3(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return crosssplit.jaccard_split(_t(spark, d, "processed_v2_sample"), _t(spark, d, "split_ids"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return crosssplit.pairs_of(*crosssplit.cross_split(_t(spark, d, "processed_v2_sample"), _t(spark, d, "split_ids")))
+    return crosssplit.pairs_of(*_p3(spark, d))
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
-    return crosssplit.counts_of(*crosssplit.cross_split(_t(spark, d, "processed_v2_sample"), _t(spark, d, "split_ids")))
+    return crosssplit.counts_of(*_p3(spark, d))
+
+
+def p3_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.classes_of(*crosssplit.cross_split(_t(spark, d, "processed_v2_sample"), _t(spark, d, "split_ids")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +128,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_units, p2_found, p2_quotas, p2_sample, p3_found, p3_counts, p4_found, p4_groups, p5_found, p6_found, p6_consistent,
+        p1_found, p1_units, p2_found, p2_quotas, p2_sample, p3_found, p3_counts, p3_weighted, p4_found, p4_groups, p5_found, p6_found, p6_consistent,
         p7_found, p7_redacted, p8_found, p8_spans, p8_cleaned, p9_found, p9_shares, p9_mix, p10_found, p10_pieces,
     )
 }

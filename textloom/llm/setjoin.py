@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from .chars import words
 
 _CACHE: dict[str, int] = {}
-_BLOOM_WORDS = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,27 +95,27 @@ def word_sets(df: DataFrame, id_col: str = "text_id", text_col: str = "text", le
 
 
 def bloom(df: DataFrame, col: str) -> np.ndarray:
-    """A Bloom filter of a 64-bit column of fixed size (65,536 words, 512 KB), built by one aggregation."""
-    word = f"CAST({col} & {_BLOOM_WORDS - 1} AS INT)"
-    bits = f"bit_or(shiftleft(1L, CAST(shiftrightunsigned({col}, 16) & 63 AS INT)) | shiftleft(1L, CAST(shiftrightunsigned({col}, 22) & 63 AS INT)))"
-    out = np.zeros(_BLOOM_WORDS, dtype=np.uint64)
-    for r in df.groupBy(F.expr(word).alias("w")).agg(F.expr(bits).alias("b")).toLocalIterator():
-        out[r.w] = np.uint64(r.b & 0xFFFFFFFFFFFFFFFF)
+    """A Bloom filter of a 64-bit column, built by one aggregation: 16 to 32 bits a row, between 512 KB and 16 MB. Beyond some eight million rows it only lets more through, which is more work and no loss."""
+    rows = df.count()
+    size = 1 << max(16, min(21, (max(1, rows // 4) - 1).bit_length()))
+    bit = lambda k: f"shiftleft(1L, CAST(shiftrightunsigned({col}, {k}) & 63 AS INT))"
+    t = df.groupBy(F.expr(f"CAST({col} & {size - 1} AS INT)").alias("w")).agg(F.expr(f"bit_or({bit(40)} | {bit(46)})").alias("b")).toArrow()
+    out = np.zeros(size, dtype=np.uint64)
+    out[t.column("w").to_numpy()] = t.column("b").to_numpy().view(np.uint64)
     return out
 
 
 def in_bloom(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    k = key.view(np.uint64)
-    w = bits[(k & np.uint64(_BLOOM_WORDS - 1)).astype(np.int64)]
-    one = np.uint64(1)
-    need = (one << ((k >> np.uint64(16)) & np.uint64(63))) | (one << ((k >> np.uint64(22)) & np.uint64(63)))
+    k, one, six = key.view(np.uint64), np.uint64(1), np.uint64(63)
+    w = bits[(k & np.uint64(len(bits) - 1)).astype(np.int64)]
+    need = (one << ((k >> np.uint64(40)) & six)) | (one << ((k >> np.uint64(46)) & six))
     return (w & need) == need
 
 
 def verified(pairs: DataFrame, sets: DataFrame, gamma_num: int, gamma_den: int) -> DataFrame:
-    """Of candidate pairs (a, b) of set keys those whose Jaccard similarity is at least gamma_num / gamma_den, with the overlap.
+    """Of candidate pairs (a, b), a written table, of set keys those whose Jaccard similarity is at least gamma_num / gamma_den, with the overlap.
 
-    Only sets that a fixed-size Bloom filter of the candidates lets through are shuffled to the pairs."""
+    Only sets that a bounded Bloom filter of the candidates lets through are shuffled to the pairs."""
     sides = pairs.select(F.explode(F.array("a", "b")).alias("key"))
     bits = sets.sparkSession.sparkContext.broadcast(bloom(sides, "key"))
 
@@ -174,3 +173,24 @@ def close_pairs(order_key: np.ndarray, keys: np.ndarray, near, chunk: int = 4_00
                     kept, limit = 0, max(1_000_000, len(found[0]))
         d += 1
     return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=keys.dtype)
+
+
+def cross_pairs(left_order: np.ndarray, left: np.ndarray, right_order: np.ndarray, right: np.ndarray, near, chunk: int = 4_000_000) -> np.ndarray:
+    """Pairs (a < b) of different keys, one of `left`, one of `right`, whose order keys (both sorted) are equal and that `near(i, j)` admits; memory is bounded by the chunk."""
+    lo, hi = np.searchsorted(right_order, left_order, "left"), np.searchsorted(right_order, left_order, "right")
+    width = hi - lo
+    ends = np.cumsum(width)
+    found, a = [np.empty((0, 2), dtype=left.dtype)], 0
+    while a < len(width):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + chunk, side="right")))
+        w = width[a:b]
+        i = np.repeat(np.arange(a, b), w)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(lo[a:b], w)
+        a = b
+        ok = near(i, j) & (left[i] != right[j])
+        if ok.any():
+            x, y = left[i[ok]], right[j[ok]]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            if sum(map(len, found)) > 2_000_000:
+                found = [np.unique(np.concatenate(found), axis=0)]
+    return np.unique(np.concatenate(found), axis=0)
