@@ -75,16 +75,24 @@ def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(rows, pii.trained(rows))
 
 
+def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return sampling.stratified(_t(spark, d, "labels"), _t(spark, d, "label_targets"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.quotas(_t(spark, d, "labels"), _t(spark, d, "label_targets")).where("exhausted").select("label")
+    return _p2(spark, d)[1].where("exhausted").select("label")
 
 
 def p2_quotas(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.quotas(_t(spark, d, "labels"), _t(spark, d, "label_targets")).drop("canon")
+    return _p2(spark, d)[1].select("label", "available", "wanted", "quota", "exhausted")
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d)[1].select("label", "target_share", "quota", "actual_share", "shortfall", "exhausted")
 
 
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.sample(_t(spark, d, "labels"), _t(spark, d, "label_targets")).withColumnRenamed("id", "text_id")
+    return _p2(spark, d)[0].withColumnRenamed("id", "text_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +136,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_units, p2_found, p2_quotas, p2_sample, p3_found, p3_counts, p3_weighted, p4_found, p4_groups, p5_found, p6_found, p6_consistent,
+        p1_found, p1_units, p2_found, p2_quotas, p2_shares, p2_sample, p3_found, p3_counts, p3_weighted, p4_found, p4_groups, p5_found, p6_found, p6_consistent,
         p7_found, p7_redacted, p8_found, p8_spans, p8_cleaned, p9_found, p9_shares, p9_mix, p10_found, p10_pieces,
     )
 }
@@ -138,10 +146,18 @@ _QUOTAS = f"""
 WITH r AS (SELECT DISTINCT text_id, {_CANON} AS canon FROM labels WHERE text_id IS NOT NULL AND label IS NOT NULL),
 c AS (SELECT canon, count(*) AS n FROM r GROUP BY canon),
 s AS (SELECT count(DISTINCT text_id) * 0.2::DOUBLE AS s FROM r),
-q AS (SELECT t.label, coalesce(c.n, 0) AS available, greatest(t.min_rows::DOUBLE, t.target_share * s.s) AS wanted
-      FROM (SELECT *, {_CANON} AS canon FROM label_targets) t LEFT JOIN c USING (canon) CROSS JOIN s)
+q AS (SELECT t.label, t.target_share, t.target_share * s.s AS part, t.min_rows::DOUBLE AS least, coalesce(c.n, 0) AS available, greatest(t.min_rows::DOUBLE, t.target_share * s.s) AS wanted, s.s
+      FROM (SELECT *, {_CANON} AS canon FROM label_targets) t LEFT JOIN c USING (canon) CROSS JOIN s),
+steps AS (SELECT 1.0::DOUBLE AS x UNION SELECT available / part FROM q WHERE part > 0 UNION SELECT least / part FROM q WHERE part > 0),
+tried AS (SELECT x, sum(least(available::DOUBLE, greatest(least, x * part))) AS total, sum(CASE WHEN least <= x * part AND x * part < available THEN part ELSE 0 END) AS slope, any_value(s) AS s FROM steps, q WHERE x >= 1 GROUP BY x),
+best AS (SELECT CASE WHEN x = 1 AND total >= s THEN 1.0 WHEN slope > 0 THEN x + (s - total) / slope ELSE x END AS x FROM tried WHERE x = 1 OR total <= s ORDER BY tried.x DESC LIMIT 1),
+e AS (SELECT q.*, least(available::DOUBLE, greatest(least, best.x * part)) AS exact FROM q, best),
+f AS (SELECT *, floor(exact + 1e-6) AS whole, round(sum(exact) OVER ()) - sum(floor(exact + 1e-6)) OVER () AS more FROM e),
+g AS (SELECT *, row_number() OVER (ORDER BY round(exact - whole, 6) DESC, label) AS place FROM f),
+h AS (SELECT *, (whole + CASE WHEN place <= more AND whole < available THEN 1 ELSE 0 END)::BIGINT AS quota FROM g)
 """
 ORACLE: dict[str, str] = {
     "p2_found": _QUOTAS + "SELECT label FROM q WHERE available < wanted - 1e-9",
-    "p2_quotas": _QUOTAS + "SELECT label, available::BIGINT AS available, wanted, least(available, round(wanted)::BIGINT)::BIGINT AS quota, available < wanted - 1e-9 AS exhausted FROM q",
+    "p2_quotas": _QUOTAS + "SELECT label, available::BIGINT AS available, wanted, quota, available < wanted - 1e-9 AS exhausted FROM h",
+    "p2_shares": _QUOTAS + "SELECT label, target_share, quota, quota / sum(quota) OVER () AS actual_share, greatest(0.0, wanted - quota) AS shortfall, available < wanted - 1e-9 AS exhausted FROM h",
 }

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,19 +28,39 @@ def encoder(path: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Text is encoded in stretches of about this many characters, cut only between two parts of the pattern.
+STRETCH = 20_000
+
+
+def stretches(text: str):
+    """The text in stretches that encode on their own as they do together: they end where a blank follows a character that is none, and there the pattern always cuts. What has no such place is matched by the pattern, part by part."""
+    at = 0
+    while len(text) - at > STRETCH:
+        cut = _BREAK.search(text, at + STRETCH // 2, at + STRETCH)
+        if cut:
+            yield text[at:cut.end()]
+            at = cut.end()
+            continue
+        end = at + 1
+        for m in _PARTS.finditer(text, at):
+            end = m.end()
+            if end - at >= STRETCH // 2:
+                break
+        yield text[at:end]
+        at = end
+    if at < len(text):
+        yield text[at:]
+
+
+_BREAK = re.compile(r"\S(?= \S)")
+_PARTS = regex.compile(PATTERN)
+
+
 def count(text: str, path: str) -> int:
-    """Tokens of a text; very long texts are encoded in stretches cut before a blank, where the pattern cuts too."""
-    if len(text) <= 20_000:
+    """Tokens of a text."""
+    if len(text) <= STRETCH:
         return len(encoder(path).encode_ordinary(text))
-    n, at = 0, 0
-    while at < len(text):
-        end = at + 20_000
-        if end < len(text):
-            cut = text.rfind(" ", at + 1, end)
-            end = cut if cut > at else end
-        n += len(encoder(path).encode_ordinary(text[at:end]))
-        at = end
-    return n
+    return sum(len(encoder(path).encode_ordinary(s)) for s in stretches(text))
 
 
 def with_tokens(df: DataFrame, keep: tuple[str, ...], text_col: str = "text", path: str | None = None) -> DataFrame:
