@@ -24,7 +24,7 @@ def parts(text, model):
 
 def test_sentences_learn_abbreviations(spark):
     m = sentences.collected(sentences.learn(corpus(spark)))
-    assert {"вул", "тис", "див", "напр"} <= m.abbreviations["cyrl"]
+    assert {"вул", "тис", "див", "напр"} <= m.abbreviations["cyrl-uk"] and m.same == {"cyrl": "cyrl-uk"}
     assert parts("Живу на вул. Ткацькій. Усе добре", m) == ["Живу на вул. Ткацькій.", "Усе добре"]
     assert parts("Сплатили 15 тис. грн. о 8.30!Далі\nі ще", m) == ["Сплатили 15 тис. грн.", "о 8.30!", "Далі", "і ще"]
     assert parts("Чекав... чекав... і таки встиг.", m) == ["Чекав... чекав... і таки встиг."]
@@ -36,6 +36,23 @@ def test_sentences_learn_abbreviations(spark):
         assert sentences.starts(t, m) == []
 
 
+def test_long_types_are_learned(spark):
+    """No length is left out: abbreviations of twelve letters, long starters, long words before a mark."""
+    text = "Просимо адміністрати. Рішення нам! Неконституційнозабороненого немає! " * 3
+    rows = [(i, text.replace("нам", f"нам {i}"), "x") for i in range(20_000)]
+    m = sentences.collected(sentences.learn(spark.createDataFrame(rows, "text_id BIGINT, text STRING, label STRING")))
+    assert "адміністрати" in m.abbreviations["cyrl-uk"] and ("адміністрати", "рішення") in m.pairs["cyrl-uk"] and "неконституційнозабороненого" in m.starters["cyrl-uk"]
+    assert parts("Просимо адміністрати. Рішення є. Так", m) == ["Просимо адміністрати. Рішення є.", "Так"]
+    assert parts("а" * 200 + ". Неконституційнозабороненого", m) == ["а" * 200 + ".", "Неконституційнозабороненого"]
+    b = "б" * 90
+    assert parts(f"чекав {b}... {b}... і все", m) == [f"чекав {b}... {b}... і все"]
+
+
+@pytest.mark.parametrize("text,name", [("Їжак", "cyrl-uk"), ("Это был ёж", "cyrl-ru"), ("так", "cyrl"), ("Zażółć gęś", "latn-pl"), ("Straße", "latn-de"), ("the cat", "latn"), ("謝謝你的", "zh"), ("42", "cyrl"), ("ありがとう", "ja")])
+def test_languages(text, name):
+    assert sentences.language(text) == name
+
+
 def test_sentence_units_cover_the_text(spark):
     df = corpus(spark).unionByName(spark.createDataFrame([(1000, None, "a"), (1001, "", "a"), (1002, "слово " * 30_000, "a"), (None, "Так. Ні.", "a")], "text_id BIGINT, text STRING, start_char STRING"))
     u = sentences.sentence_units(df.unionByName(df.limit(3)))
@@ -71,7 +88,9 @@ def test_canonical_groups_and_replaces(spark):
     assert {tuple(r) for r in canonical.found(df).collect()} == {("a", "1"), ("b", "1")}
     c = {(r.src, r.row_key): r.consistent_text for r in canonical.consistent(df).collect()}
     assert c == {("a", "1"): "Через вікно", ("a", "2"): "Через вікно", ("a", "3"): None, ("a", "4"): "", ("b", "1"): "на вулиці"}
-    assert canonical.found(df.limit(0)).isEmpty()
+    assert canonical.found(df.limit(0)).isEmpty() and canonical.consistent(df).count() == len(rows)
+    assert {(r.src, r.row_key): r.consistent_text for r in canonical.consistent(df, most=-1).collect()} == c  # by a join
+    assert canonical.rewritten("Чepeз вікно", {("Чepeз", "Через"): "через"}) == ("через вікно", 1) and canonical.rewritten(None, {}) == (None, 0)
 
 
 PERSONAL = [
@@ -136,6 +155,29 @@ def test_leaks_match_brute_force(spark):
     assert c[10] == "початок  кінець" and c[11] == docs[1][1] and c[13] is None
     assert leakage.cleaned(d, h, drop="documents").where("doc_id IN (10, 12, 15)").isEmpty()
     assert leakage.found(d, h.limit(0)).isEmpty() and leakage.found(d.limit(0), h).isEmpty()
+    extra = leakage.cleaned(d.withColumn("leaked_chars", F.lit("x")), h)
+    assert {r.doc_id: r.leaked_chars for r in extra.collect()}[11] == 0 and set(extra.columns) == {"doc_id", "text", "item_id", "leaked_chars"}
+    assert leakage.cleaned(d, h).where("doc_id = 15").count() == 2  # repeated rows each by their own text
+
+
+def test_leaks_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK", 3)
+    items = [(i, " ".join(f"слово{i}x{k}" for k in range(14))) for i in range(5)]
+    d = spark.createDataFrame([(i, "до " + t + " після") for i, t in items] + [(9, " далі ".join(t for _, t in items))], "doc_id BIGINT, text STRING")
+    h = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    assert {tuple(r) for r in leakage.found(d, h).collect()} == {(i, i) for i, _ in items} | {(9, i) for i, _ in items}
+    assert {r.doc_id: r.text for r in leakage.cleaned(d, h).collect()}[9].split() == ["далі"] * 4
+
+
+@pytest.mark.parametrize("change", [
+    lambda t: t.replace("a", "а"), lambda t: t.replace("the", "thе").replace("o", "о"), lambda t: "Дуже довгий український текст перед цим уривком. " * 40 + t.replace("a", "а").replace("o", "о"), lambda t: t.upper().replace("TO", "ТО"), lambda t: t.replace("i", "ı̇") if False else t.replace("e", "е\u200b"),
+])
+def test_leaks_are_found_by_look(change):
+    """An item in other letters of the same look, in whatever surroundings."""
+    item = "to a place in the east of a town the clerk took a note and a box of old cases to court"
+    idx = leakage.index([(1, item)], 12)
+    t = change(item)
+    assert [(i, e - s) for i, s, e in leakage.runs(leakage._word_codes(t, idx[0]), idx, 12)] == [(1, len(item.split()))]
 
 
 def test_pieces_cover_fit_and_overlap():
@@ -154,6 +196,14 @@ def test_pieces_cover_fit_and_overlap():
         chunking.pieces("x", 10, 10)
 
 
+def test_pieces_end_at_sentences_of_the_model():
+    m = sentences.Model(abbreviations={"cyrl-uk": {"ст"}}, upper={"cyrl-uk": {"ст"}}, longest=2)
+    text = " ".join(f"Згідно зі ст. Конституції {i} рішення її." for i in range(60))
+    cuts = [text[b:b + 7] for _, b, _ in chunking.pieces(text, 120, 0, model=m)][:-1]
+    assert cuts and all(c.startswith("Згідно") for c in cuts)
+    assert chunking.SEPARATORS[0].search("а.\n\n" + "Дуже довгий заголовок " * 6 + "розділу\n\nб")
+
+
 def test_split_documents(spark):
     d = spark.createDataFrame([(1, "коротко", 9), (2, "слово " * 5000, 9), (3, None, 9), (4, "", 9), (2, "слово " * 5000, 9)], "doc_id BIGINT, text STRING, pieces INT")
     p = chunking.split_documents(d)

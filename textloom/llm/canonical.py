@@ -2,8 +2,9 @@
 
 One pass over the texts lists the values (words, runs of blanks) that are not in consistent form, with their look-alike
 mapping, and counts all other words. In SQL the mapped values are grouped under Unicode's accent-sensitive collation, each
-class gets one deterministic canonical member (written consistently, most frequent, least), and that member is joined back
-to the values and put into the texts. Only values out of form travel to the join, never whole texts.
+class gets one deterministic canonical member (written consistently, most frequent, greatest), and that member is joined
+back to the distinct values. What is left for the texts are the values whose canonical member is not their mapping; texts
+are rewritten where they are read, and neither texts nor every occurrence of a value travel to a join.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chars import _PLAIN_WORDS, _WORDS, _MARKS_POSSIBLE, odd_values
-from .common import written
+from .common import dropped, written
 
 _SCHEMA = "src STRING, row_key STRING, text_md5 STRING, start INT, len INT, value STRING, mapped STRING, n BIGINT"
 _NAMES = ["src", "row_key", "text_md5", "start", "len", "value", "mapped", "n"]
@@ -80,17 +81,33 @@ def classes(scanned: DataFrame) -> DataFrame:
     return scanned.sparkSession.sql(_CLASSES, scan=scanned)
 
 
-_REPLACED = """
-SELECT /*+ MERGE(c) */ o.src, o.row_key, o.text_md5, o.start, o.len, o.value, c.canonical
-FROM (SELECT * FROM {scan} WHERE n IS NULL) o JOIN {classes} c ON o.mapped COLLATE UNICODE = c.cls
-WHERE o.value <> c.canonical
+_EXCEPTIONS = """
+SELECT o.value, o.mapped, c.canonical
+FROM (SELECT DISTINCT value, mapped FROM {scan} WHERE n IS NULL) o JOIN {classes} c ON o.mapped COLLATE UNICODE = c.cls
+WHERE o.mapped <> c.canonical
 """
+#: Values whose canonical member is not their mapping that are broadcast; more are joined to the values of each row.
+MAX_EXCEPTIONS = 500_000
+
+
+def exceptions(scanned: DataFrame) -> DataFrame:
+    """(value, mapped, canonical): distinct values out of form whose class has another canonical member than their mapping."""
+    return scanned.sparkSession.sql(_EXCEPTIONS, scan=scanned, classes=classes(scanned))
 
 
 def replacements(rows: DataFrame) -> DataFrame:
     """(src, row_key, text_md5, start, len, value, canonical): the values of (src, row_key, text) to be written otherwise. NULL and empty texts have none; equal rows repeat theirs."""
     scanned = written(scan(rows), "scan")
-    return rows.sparkSession.sql(_REPLACED, scan=scanned, classes=classes(scanned))
+    return _replaced(scanned, written(exceptions(scanned), "exceptions"))
+
+
+def _replaced(scanned: DataFrame, other: DataFrame) -> DataFrame:
+    odd = scanned.where("n IS NULL").drop("n")
+    if other.isEmpty():
+        joined = odd.withColumn("canonical", F.col("mapped"))
+    else:
+        joined = odd.join(other, ["value", "mapped"], "left").withColumn("canonical", F.coalesce("canonical", "mapped"))
+    return joined.where("value <> canonical").select("src", "row_key", "text_md5", "start", "len", "value", "canonical")
 
 
 def found(rows: DataFrame) -> DataFrame:
@@ -98,12 +115,38 @@ def found(rows: DataFrame) -> DataFrame:
     return replacements(rows).select("src", "row_key").distinct()
 
 
-def consistent(rows: DataFrame) -> DataFrame:
-    """(src, row_key, text, consistent_text, replaced): every distinct row of (src, row_key, text) in consistent form; NULL stays NULL."""
-    r = replacements(rows).groupBy("src", "row_key", "text_md5").agg(F.array_sort(F.collect_set(F.struct("start", "len", "canonical"))).alias("pieces"))
-    base = rows.select("src", "row_key", "text").distinct().withColumn("text_md5", F.md5("text"))
-    joined = base.join(r, ["src", "row_key", "text_md5"], "left")
-    done = F.expr(
-        "aggregate(pieces, struct(CAST('' AS STRING) AS o, 0 AS at), (a, p) -> struct(concat(a.o, substring(text, a.at + 1, p.start - a.at), p.canonical) AS o, p.start + p.len AS at), a -> concat(a.o, substring(text, a.at + 1)))"
-    )
-    return joined.select("src", "row_key", "text", F.when(F.col("pieces").isNull(), F.col("text")).otherwise(done).alias("consistent_text"), F.coalesce(F.size("pieces"), F.lit(0)).alias("replaced"))
+def rewritten(text: str | None, other: dict[tuple[str, str], str]) -> tuple[str | None, int]:
+    """The text in consistent form and how many of its values were replaced."""
+    if not text:
+        return text, 0
+    out, at, n = [], 0, 0
+    for start, size, value, mapped in odd_values(text):
+        new = other.get((value, mapped), mapped)
+        if new != value:
+            out += [text[at:start], new]
+            at = start + size
+            n += 1
+    return "".join([*out, text[at:]]) if n else text, n
+
+
+def consistent(rows: DataFrame, most: int = MAX_EXCEPTIONS) -> DataFrame:
+    """(src, row_key, text, consistent_text, replaced): every row of (src, row_key, text) in consistent form; NULL stays NULL, repeated rows stay repeated."""
+    scanned = written(scan(rows), "scan")
+    other = written(exceptions(scanned), "exceptions")
+    base = rows.select("src", "row_key", "text")
+    if other.count() > most:
+        pieces = _replaced(scanned, other).groupBy("src", "row_key", "text_md5").agg(F.array_sort(F.collect_set(F.struct("start", "len", "canonical"))).alias("pieces"))
+        joined = base.withColumn("text_md5", F.md5("text")).join(pieces, ["src", "row_key", "text_md5"], "left")
+        done = F.expr(
+            "aggregate(pieces, struct(CAST('' AS STRING) AS o, 0 AS at), (a, p) -> struct(concat(a.o, substring(text, a.at + 1, p.start - a.at), p.canonical) AS o, p.start + p.len AS at), a -> concat(a.o, substring(text, a.at + 1)))"
+        )
+        return joined.select("src", "row_key", "text", F.when(F.col("pieces").isNull(), F.col("text")).otherwise(done).alias("consistent_text"), F.when(F.col("pieces").isNull(), 0).otherwise(F.size("pieces")).alias("replaced"))
+    held = rows.sparkSession.sparkContext.broadcast({(r.value, r.mapped): r.canonical for r in other.toLocalIterator()})
+    dropped(scanned, other)
+
+    def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            new = [rewritten(t, held.value) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in new], pa.string()), pa.array([x[1] for x in new], pa.int32())], names=["src", "row_key", "text", "consistent_text", "replaced"])
+
+    return base.mapInArrow(kernel, "src STRING, row_key STRING, text STRING, consistent_text STRING, replaced INT")

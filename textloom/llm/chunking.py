@@ -1,7 +1,8 @@
 """Problem 10: texts over a token limit cut into pieces at natural boundaries, with overlap.
 
 Boundaries are ranked: section, paragraph, line, sentence, word, character. A text is split at the highest rank; what is
-still too large is split at the next, down to characters. The parts are packed greedily, and each piece after the first
+still too large is split at the next, down to characters. Sentences are those of problem 1, whose statistics are learned from
+the documents themselves. The parts are packed greedily, and each piece after the first
 repeats trailing parts of the one before, as many as the overlap allows (single words, where no larger part is small
 enough). Pieces are exact slices of the text: their union is the text, and every piece is encoded to prove its size.
 """
@@ -9,6 +10,7 @@ enough). Pieces are exact slices of the text: their union is the text, and every
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,30 +18,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tokenizer_path
+from .sentences import Model, collected, learn, starts
 from .tokens import count
 
 #: Each pattern matches the end of a part of its rank, blanks included.
 SEPARATORS = (
-    re.compile(r"(?<=\S)[^\S\n]*+\n(?:[^\S\n]*+\n)++(?=[^\n]{1,60}\n[^\S\n]*+\n)"),  # before a short line that stands alone: a heading
+    re.compile(r"(?<=\S)[^\S\n]*+\n(?:[^\S\n]*+\n)++(?=[^\n]*[^\s.!?…,;:。！？।]\n[^\S\n]*+\n)"),  # before a line that stands alone and ends like no sentence: a heading
     re.compile(r"(?<=\S)[^\S\n]*+\n(?:[^\S\n]*+\n)++"),
     re.compile(r"\n"),
-    re.compile(r"(?:(?<![.!?…])[.!?…]++[)»”\"]*+\s++|[。！？।]++[」』”]*+)"),
+    None,  # sentences
     re.compile(r"\s++"),
 )
 
 
-def parts(text: str, start: int, end: int, limit: int, path: str, rank: int = 0) -> list[tuple[int, int, int]]:
+def parts(text: str, start: int, end: int, limit: int, path: str, sentence_starts: list[int], rank: int = 0) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of consecutive parts of at most `limit` tokens, each as large a natural unit as fits."""
     n = count(text[start:end], path)
     if n <= limit:
         return [(start, end, n)] if end > start else []
     while rank < len(SEPARATORS):
-        cuts = [m.end() for m in SEPARATORS[rank].finditer(text, start, end) if start < m.end() < end]
+        if SEPARATORS[rank] is None:
+            cuts = sentence_starts[bisect_right(sentence_starts, start):bisect_left(sentence_starts, end)]
+        else:
+            cuts = [m.end() for m in SEPARATORS[rank].finditer(text, start, end) if start < m.end() < end]
         rank += 1
         if cuts:
             out, at = [], start
             for c in [*cuts, end]:
-                out += parts(text, at, c, limit, path, rank)
+                out += parts(text, at, c, limit, path, sentence_starts, rank)
                 at = c
             return out
     out, at = [], start
@@ -74,8 +80,8 @@ def _overlap_start(text: str, start: int, end: int, overlap: int, path: str) ->
     return end - lo
 
 
-def pieces(text: str | None, limit: int = 2048, overlap: int = 64, path: str | None = None) -> list[tuple[int, int, int]]:
-    """(start, end, tokens) of the pieces of a text: one if it is within the limit; none for None and empty texts."""
+def pieces(text: str | None, limit: int = 2048, overlap: int = 64, path: str | None = None, model: Model = Model()) -> list[tuple[int, int, int]]:
+    """(start, end, tokens) of the pieces of a text: one if it is within the limit; none for None and empty texts. Sentences follow the model, which may be empty."""
     if overlap < 0 or limit <= overlap:
         raise ValueError("the overlap must be at least 0 and less than the limit")
     path = path or tokenizer_path()
@@ -85,7 +91,7 @@ def pieces(text: str | None, limit: int = 2048, overlap: int = 64, path: str | N
     if total <= limit:
         return [(0, len(text), total)]
     room = limit - overlap
-    units = parts(text, 0, len(text), max(1, room), path)
+    units = parts(text, 0, len(text), max(1, room), path, starts(text, model))
     out: list[tuple[int, int, int]] = []
     k = 0
     while k < len(units):
@@ -113,11 +119,12 @@ def pieces(text: str | None, limit: int = 2048, overlap: int = 64, path: str | N
     return out
 
 
-def split_documents(documents: DataFrame, limit: int = 2048, overlap: int = 64, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", only_oversized: bool = False) -> DataFrame:
+def split_documents(documents: DataFrame, limit: int = 2048, overlap: int = 64, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", only_oversized: bool = False, model: Model | None = None) -> DataFrame:
     """The operator: (doc_id, piece_no, pieces, start_char, end_char, n_tokens, piece); offsets count code points.
 
-    Texts within the limit are one piece; NULL and empty texts have none; repeated rows repeat theirs; other columns are ignored. A character of more than `limit` tokens would stand alone."""
+    Texts within the limit are one piece; NULL and empty texts have none; repeated rows repeat theirs; other columns are ignored. Without a model of sentences one is learned from the documents. A character of more than `limit` tokens would stand alone."""
     path = tokenizer or tokenizer_path()
+    held = documents.sparkSession.sparkContext.broadcast(model or collected(learn(documents, text)))
     src = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).where("_text IS NOT NULL AND _text <> ''")
 
     def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +133,7 @@ def split_documents(documents: DataFrame, limit: int = 2048, overlap: int = 64,
             for i, t in enumerate(b.column("_text").to_pylist()):
                 if only_oversized and len(t.encode("utf-8", "replace")) <= limit:
                     continue  # a token has at least one byte
-                ps = pieces(t, limit, overlap, path)
+                ps = pieces(t, limit, overlap, path, held.value)
                 if only_oversized and len(ps) < 2:
                     continue
                 for k, (s, e, n) in enumerate(ps):

@@ -1,8 +1,9 @@
 """Problem 8: passages of held-out items inside a large corpus.
 
 The n-grams of the items' normalised words are a hash set of checked size, broadcast in blocks; every window of every text
-is looked up, hits are verified word by word, and hits that continue one another are joined into spans. Documents are never
-shuffled.
+is looked up, hits are verified word by word, and hits that continue one another are joined into spans. Words are compared
+by their look: letters of several alphabets that look alike are one, whatever their neighbours say about the alphabet.
+Documents are never shuffled, and cleaned texts come out of the pass that finds the hits.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chars import _WORDS, back_map, fix_text
+from .chars import _ALWAYS, _WORDS, CYRILLIC_LOOKALIKE, CYRILLIC_OF_GREEK, GREEK_OF_CYRILLIC, LATIN_LOOKALIKE, _composed, back_map, fix_text
 from .setjoin import mix
 
 #: N-grams broadcast at once; more items are searched in further blocks, each over all documents.
@@ -22,9 +23,18 @@ BLOCK = 1_000_000
 _MULT = 0x9E3779B97F4A7C15
 
 
+#: Small letters that look alike, or whose capitals do.
+_LOOK = str.maketrans({a.lower(): b.lower() for a, b in zip(LATIN_LOOKALIKE + GREEK_OF_CYRILLIC, CYRILLIC_LOOKALIKE + CYRILLIC_OF_GREEK)})
+
+
+def look_words(text: str) -> list[str]:
+    """The words of a text in consistent form, small letters, look-alikes of all alphabets as one."""
+    return _WORDS.findall((_composed(text) if _ALWAYS.search(text) else text).lower().translate(_LOOK))
+
+
 def _word_codes(text: str, codes: dict[str, int]) -> np.ndarray:
     """Codes of the words of a text among the items' words, 0 for any other word."""
-    return np.fromiter((codes.get(w, 0) for w in _WORDS.findall(fix_text(text).lower())), dtype=np.uint64)
+    return np.fromiter((codes.get(w, 0) for w in look_words(text)), dtype=np.uint64)
 
 
 def _grams(code: np.ndarray, n: int) -> np.ndarray:
@@ -42,7 +52,7 @@ def index(items: list[tuple[int, str]], n: int) -> tuple[dict[str, int], np.ndar
     codes: dict[str, int] = {}
     coded = []
     for item, text in items:
-        ws = _WORDS.findall(fix_text(text).lower())
+        ws = look_words(text)
         for w in ws:
             codes.setdefault(w, len(codes) + 1)
         coded.append((item, np.array([codes[w] for w in ws], dtype=np.uint64)))
@@ -89,44 +99,52 @@ def runs(code: np.ndarray, idx, n: int) -> list[tuple[int, int, int]]:
     return sorted(set(found))
 
 
-def leaks(documents: DataFrame, items: DataFrame, n: int = 12, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """The operator: (doc_id, item_id, start_char, end_char, words), one row per maximal passage of at least n consecutive words of an item in a document.
-
-    NULL and short texts and items have none; repeated documents repeat their rows; items that share a passage are all reported."""
-    spark = documents.sparkSession
+def _blocks(items: DataFrame, n: int, item_id: str, text: str):
+    """Broadcast indexes of the items, read one by one: each has at most BLOCK n-grams and one item more, and the driver holds one at a time."""
     rows = items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    blocks, block, size = [], [], 0
+    block, size, spark = [], 0, items.sparkSession
     for r in rows.toLocalIterator():
         block.append((r.i, r.t))
         size += len(r.t) // 2
         if size > BLOCK:
-            blocks.append(block)
+            yield spark.sparkContext.broadcast(index(block, n))
             block, size = [], 0
-    blocks.append(block)
+    yield spark.sparkContext.broadcast(index(block, n))
+
+
+def _spans(text: str, idx, n: int) -> list[tuple]:
+    """(item, first character, end, words) of the passages in a text as stored."""
+    found = runs(_word_codes(text, idx[0]), idx, n)
+    if not found:
+        return []
+    words, back = [m.span() for m in _WORDS.finditer(fix_text(text))], back_map(text)
+    return [(item, back(words[s][0]), back(words[e - 1][1]), e - s) for item, s, e in found]
+
+
+def leaks(documents: DataFrame, items: DataFrame, n: int = 12, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """The operator: (doc_id, item_id, start_char, end_char, words), one row per maximal passage of at least n consecutive words of an item in a document.
+
+    NULL and short texts and items have none; repeated documents repeat their rows; items that share a passage are all
+    reported. Items beyond a block are searched in a further pass over the documents."""
     src = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).where("_text IS NOT NULL")
-    types = dict(src.dtypes) | {"item_id": dict(rows.dtypes)["i"]}
+    kind, own = dict(items.dtypes)[item_id], dict(src.dtypes)["doc_id"]
     out = None
-    for block in blocks:
-        held = spark.sparkContext.broadcast(index(block, n))
+    for held in _blocks(items, n, item_id, text):
 
         def kernel(it: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in it:
                 at, got = [], []
                 for i, t in enumerate(b.column("_text").to_pylist()):
-                    found = runs(_word_codes(t, held.value[0]), held.value, n)
-                    if found:
-                        words = [m.span() for m in _WORDS.finditer(fix_text(t))]
-                        back = back_map(t)
-                        for item, s, e in found:
-                            at.append(i)
-                            got.append((item, back(words[s][0]), back(words[e - 1][1]), e - s))
+                    spans = _spans(t, held.value, n)
+                    at += [i] * len(spans)
+                    got += spans
                 cols = list(zip(*got)) if got else [[], [], [], []]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(list(cols[0]), pa.int64() if types["item_id"] == "bigint" else None), *[pa.array(list(c), pa.int32()) for c in cols[1:]]],
+                    [b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(list(cols[0]), pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), *[pa.array(list(c), pa.int32()) for c in cols[1:]]],
                     names=["doc_id", "item_id", "start_char", "end_char", "words"],
                 )
 
-        part = src.mapInArrow(kernel, f"doc_id {types['doc_id']}, item_id {types['item_id']}, start_char INT, end_char INT, words INT")
+        part = src.mapInArrow(kernel, f"doc_id {own}, item_id {kind}, start_char INT, end_char INT, words INT")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -136,14 +154,35 @@ def found(documents: DataFrame, items: DataFrame, n: int = 12) -> DataFrame:
     return leaks(documents, items, n).select("doc_id", "item_id").distinct()
 
 
-def cleaned(documents: DataFrame, items: DataFrame, n: int = 12, drop: str = "spans") -> DataFrame:
-    """The documents without leaked spans (drop="spans", a column `leaked_chars` says how many characters went) or without leaking documents (drop="documents")."""
-    hits = leaks(documents, items, n)
-    if drop == "documents":
-        return documents.join(hits.select("doc_id").distinct(), "doc_id", "left_anti")
-    if drop != "spans":
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the given spans, which may overlap."""
+    out, at = [], 0
+    for s, e in sorted(spans):
+        out.append(text[at:max(at, s)])
+        at = max(at, e)
+    return "".join([*out, text[at:]])
+
+
+def cleaned(documents: DataFrame, items: DataFrame, n: int = 12, drop: str = "spans", item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """The documents with all their columns, without leaked spans (drop="spans", a column `leaked_chars` says how many characters went; one of that name is replaced) or without leaking rows (drop="documents"). Each row is judged by its own text, in the pass that reads it; NULL texts stay."""
+    if drop not in ("spans", "documents"):
         raise ValueError("drop must be 'spans' or 'documents'")
-    spans = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias("_s"))
-    cut = F.expr("aggregate(_s, struct(CAST('' AS STRING) AS o, 0 AS at), (a, s) -> struct(concat(a.o, substring(text, a.at + 1, greatest(0, s.start_char - a.at))) AS o, greatest(a.at, s.end_char) AS at), a -> concat(a.o, substring(text, a.at + 1)))")
-    joined = documents.join(spans, "doc_id", "left").withColumn("_new", F.when(F.col("_s").isNull(), F.col("text")).otherwise(cut))
-    return joined.withColumn("leaked_chars", F.coalesce(F.length("text") - F.length("_new"), F.lit(0))).withColumn("text", F.col("_new")).drop("_s", "_new")
+    out = documents.drop("leaked_chars").withColumn("leaked_chars", F.lit(0))
+    for held in _blocks(items, n, item_id, text):
+
+        def kernel(it: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                texts, gone, keep = b.column(text).to_pylist(), b.column("leaked_chars").to_pylist(), []
+                for i, t in enumerate(texts):
+                    spans = [(s, e) for _, s, e, _ in _spans(t, held.value, n)] if t else []
+                    if not spans or drop == "spans":
+                        keep.append(i)
+                    if spans:
+                        texts[i] = without(t, spans)
+                        gone[i] += len(t) - len(texts[i])
+                new = {text: pa.array(texts, b.schema.field(text).type), "leaked_chars": pa.array(gone, pa.int32())}
+                done = pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in b.schema.names], names=b.schema.names)
+                yield done.take(pa.array(keep, pa.int64())) if len(keep) < len(texts) else done
+
+        out = out.mapInArrow(kernel, out.schema)
+    return out if drop == "spans" else out.drop("leaked_chars")

@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_units(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentence_units(_t(spark, d, "processed_v2_sample")).withColumnRenamed("id", "text_id").distinct()
+    return sentences.sentence_units(_t(spark, d, "processed_v2_sample")).withColumnRenamed("id", "text_id")
 
 
 def _p3(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 from .chars import BLANKS, INVISIBLE, fix_text
 from .common import written
 
-#: Longer types are no abbreviation candidates; bounds the types that are counted together with MAX_TYPES.
-MAX_TYPE_CHARS = 9
-#: The learned model is broadcast; it holds types of at most 9 letters over their thresholds. Beyond this many entries a job stops with advice instead of broadcasting without bound.
-MAX_TYPES = 500_000
+#: The learned model is broadcast; it holds only what is over its threshold, some thousand types a language. Beyond this many entries a job stops with advice instead of broadcasting without bound.
+MAX_TYPES = 2_000_000
 ABBREVIATION, COLLOCATION, STARTER, FOLLOWED = 0.3, 7.88, 30.0, 10.0
 #: A type seen before fewer full stops than this is no abbreviation: once or twice is no evidence.
 LEAST = 3
@@ -38,19 +36,23 @@ _LINE = re.compile("[^\r\n\v\f\x1c-\x1e\x85\u2028\u2029]+")
 _BEFORE = re.compile(rf"(?:{_LETTER}[\w'’ʼ​̀-ͯ-]*\.)*{_LETTER}[\w'’ʼ​̀-ͯ-]*$")
 _NEXT = re.compile(rf"[«„“\"'(\[‹「—–​ -]*({_LETTER}[\w'’ʼ​̀-ͯ-]*|\d)?")
 _ADDRESS = re.compile(r"\S*@\S+|(?:https?://|www\.)\S+", re.IGNORECASE)
-_SHORT = re.compile(rf"(?<![\w'’-]){_LETTER}{{1,{MAX_TYPE_CHARS}}}(?![\w'’-])")
-_DOTTED = re.compile(rf"(?<![\w'’-])((?:{_LETTER}{{1,2}}\.)*{_LETTER}{{1,{MAX_TYPE_CHARS}}})\.(?![.…a-z0-9])(?=[ ​]*(\S?)({_LETTER}*))")
+_TYPE = re.compile(rf"(?<![\w'’-]){_LETTER}+(?![\w'’-])")
+_DOTTED = re.compile(rf"(?<![\w'’-])((?:{_LETTER}{{1,2}}\.)*{_LETTER}+)\.(?![.…a-z0-9])(?=[ ​]*(\S?)({_LETTER}*))")
 _STARTS = re.compile(rf"(?:^|[!?…\n][»”\")]*|(?<={_LETTER}{{6}})\.[»”\")]*)\s*({_LETTER}+)", re.MULTILINE)
 _OPEN, _CLOSE = "«„“「『‹", {"«": "»", "„": "”“", "“": "”", "「": "」", "『": "』", "‹": "›"}
-_CYR, _LAT, _POLISH = re.compile("[Ѐ-ԯ]"), re.compile("[A-Za-zÀ-ɏ]"), re.compile("[ąćęłńóśźżĄĆĘŁŃÓŚŹŻ]")
+_CYR, _LAT = re.compile("[Ѐ-ԯ]"), re.compile("[A-Za-zÀ-ɏ]")
 _OTHER = (("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ar", re.compile("[؀-ۿ]")), ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[一-鿿]")))
-
-
 _FOREIGN = re.compile("[؀-ۿऀ-ॿ฀-๿぀-ヿ一-鿿]")
+# Letters that only some languages of an alphabet have.
+_OWN_LETTERS = {
+    "cyrl": {"uk": "іїєґ", "ru": "ыэёъ", "be": "ў", "sr": "ђјљњћџ", "mk": "ѓѕќ"},
+    "latn": {"pl": "ąćęłńśźż", "de": "äöüß", "cs": "ěřůďťň", "fr": "àâçèêëîïôûœ", "es": "ñ¿¡", "ro": "ăâîșț", "tr": "ğış", "vi": "đơư"},
+}
+_OWN = {script: re.compile("[" + "".join(own.values()) + "]") for script, own in _OWN_LETTERS.items()}
 
 
-def language(text: str) -> str:
-    """The group whose statistics a text shares: its script, and for Latin whether it uses Polish letters."""
+def script(text: str) -> str:
+    """The script of a text: 'cyrl', 'latn', or the language of one that has its own."""
     cyr, lat = bool(_CYR.search(text)), bool(_LAT.search(text))
     if cyr and lat:
         cyr, lat = len(_CYR.findall(text)), len(_LAT.findall(text))
@@ -58,7 +60,18 @@ def language(text: str) -> str:
         for name, p in _OTHER:
             if p.search(text):
                 return name
-    return "cyrl" if cyr >= lat else "pl" if _POLISH.search(text) else "latn"
+    return "cyrl" if cyr >= lat else "latn"
+
+
+def language(text: str) -> str:
+    """The language whose statistics a text shares: that of its script with the most letters of its own, as 'cyrl-uk'; the plain script where none has any."""
+    name = script(text)
+    own = _OWN.get(name)
+    found = own.findall(text.lower()) if own else ()
+    if not found:
+        return name
+    n = Counter(found)
+    return name + "-" + max(_OWN_LETTERS[name], key=lambda x: (sum(n[c] for c in _OWN_LETTERS[name][x]), x))
 
 
 def _kind(c: str, rest: str = "") -> str:
@@ -90,8 +103,8 @@ def count_types(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 t = _ADDRESS.sub(" ", t)
             lang = language(t)
             low = t.lower()
-            for w in _SHORT.findall(low):
-                c[lang, w, "", "all"] += 1
+            for w, n in Counter(_TYPE.findall(low)).items():
+                c[lang, w, "", "all"] += n
             if t.isupper():
                 continue
             for m in _DOTTED.finditer(t):
@@ -100,10 +113,10 @@ def count_types(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c[lang, w, "", _kind(nxt)] += 1
                 if "." in w:
                     c[lang, w, "", "all"] += 1
-                if nxt.isalpha() and len(w) <= 5:
-                    c[lang, w, (nxt + rest).lower()[:20], "pair"] += 1
+                if nxt.isalpha():
+                    c[lang, w, (nxt + rest).lower(), "pair"] += 1
             for w in _STARTS.findall(t):
-                if len(w) <= 20 and not w.islower():
+                if not w.islower():
                     c[lang, w.lower(), "", "start"] += 1
         if len(c) > 200_000:
             yield flush()
@@ -113,7 +126,7 @@ def count_types(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """Learned types by language: abbreviations; types whose full stop is followed by a small letter, digit or capital within the sentence; collocations over a full stop; sentence starters."""
+    """Learned types by language: abbreviations; types whose full stop is followed by a small letter, digit or capital within the sentence; collocations over a full stop; sentence starters; the language that texts without letters of their own share; the length of the longest type."""
 
     abbreviations: dict[str, set[str]] = field(default_factory=dict)
     lower: dict[str, set[str]] = field(default_factory=dict)
@@ -121,6 +134,12 @@ class Model:
     upper: dict[str, set[str]] = field(default_factory=dict)
     pairs: dict[str, set[tuple[str, str]]] = field(default_factory=dict)
     starters: dict[str, set[str]] = field(default_factory=dict)
+    same: dict[str, str] = field(default_factory=dict)
+    longest: int = 0
+
+    def language(self, text: str) -> str:
+        name = language(text)
+        return self.same.get(name, name)
 
 
 def _llr(k1, n1, k2, n2):
@@ -138,6 +157,11 @@ def _llr(k1, n1, k2, n2):
 def learn(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(lang, w, v, role, score): what the corpus teaches, from counts over all its texts."""
     counted = written(df.select(F.col(text_col).alias("text")).mapInArrow(count_types, "lang STRING, w STRING, v STRING, kind STRING, n BIGINT").groupBy("lang", "w", "v", "kind").agg(F.sum("n").alias("n")), "types")
+    # Cyrillic texts without letters of one language share the statistics of the one that most texts are in; Latin ones are a group of their own
+    most = counted.where("kind = 'all' AND lang LIKE 'cyrl-%'").groupBy("lang").agg(F.sum("n").alias("n")).agg(F.max_by("lang", "n").alias("l")).first().l
+    same = counted.where("lang = 'cyrl'").select(F.lit("cyrl").alias("lang"), F.lit("").alias("w"), F.lit(most).cast("string").alias("v"), F.lit("same").alias("role"), F.lit(1.0).alias("score")).limit(1 if most else 0)
+    if most:
+        counted = counted.withColumn("lang", F.when(F.col("lang") == "cyrl", most).otherwise(F.col("lang"))).groupBy("lang", "w", "v", "kind").agg(F.sum("n").alias("n"))
     types = counted.where("kind <> 'pair'").groupBy("lang", "w").agg(
         *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).cast("double").alias(k) for k in ("all", "lower", "upper", "digit", "other", "end", "start")]
     ).withColumn("dot", F.expr("lower + upper + digit + other + `end`")).withColumn("all", F.greatest("all", "dot", "start"))
@@ -152,15 +176,18 @@ def learn(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     def followed(kind: str):
         rest, trest = F.col("dot"), F.col("t_dot") - F.col("dot")
-        return F.when(F.col(kind) / F.col("dot") > F.when(F.lit(kind) == "upper", 0.05).otherwise(0.35), _llr(F.col(kind), rest, F.col(f"t_{kind}") - F.col(kind), trest))
+        return F.when(F.col(kind) / F.col("dot") > 0.35, _llr(F.col(kind), rest, F.col(f"t_{kind}") - F.col(kind), trest))
 
+    # capitals after an abbreviation's full stop, more often than the sentence ends there by chance
+    rate, chance = F.least(F.col("upper") / F.col("dot"), F.lit(1 - 1e-12)), 0.05
+    often = F.when(rate > chance, 2 * (F.col("upper") * (F.log(F.greatest(rate, F.lit(1e-12))) - F.log(F.lit(chance))) + (F.col("dot") - F.col("upper")) * (F.log(1 - rate) - F.log(F.lit(1 - chance)))))
     starter = F.when(F.col("start") / F.col("all") > F.col("t_start") / F.col("t_all"), _llr(F.col("start"), F.col("all"), F.col("t_start") - F.col("start"), F.col("t_all") - F.col("all")))
     roles = x.where("dot > 0 OR start > 0").select("lang", "w", F.lit("").alias("v"), F.explode(F.array(*[
         F.struct(F.lit(r).alias("role"), score.alias("score"), F.lit(least).alias("least")) for r, score, least in (
             ("abbreviation", F.when(F.col("dot") > 0, abbreviation), ABBREVIATION),
             ("lower", F.when(F.col("dot") > 0, followed("lower")), FOLLOWED),
             ("digit", F.when(F.col("dot") > 0, followed("digit")), FOLLOWED),
-            ("upper", F.when(F.col("dot") > 0, F.when(F.col("upper") / F.col("dot") > 0.05, F.lit(FOLLOWED))), FOLLOWED),
+            ("upper", F.when(F.col("dot") > 0, often), FOLLOWED),
             ("starter", F.when(F.col("start") > 0, starter), STARTER),
         )
     ])).alias("r")).select("lang", "w", "v", "r.*").where("score >= least").drop("least")
@@ -170,7 +197,7 @@ def learn(df: DataFrame, text_col: str = "text") -> DataFrame:
     score = F.when(F.col("n") / F.col("dot") > F.col("v_all") / F.col("t_all"), _llr(F.col("n"), F.col("dot"), F.greatest(F.col("v_all") - F.col("n"), F.lit(0.0)), F.col("t_all") - F.col("dot")))
     pairs = y.select("lang", "w", "v", F.lit("pair").alias("role"), score.alias("score")).where(F.col("score") >= COLLOCATION)
     upper = roles.where("role = 'upper'").join(known_short, ["lang", "w"], "left_semi").select(*roles.columns)
-    return roles.where("role <> 'upper'").unionByName(upper).unionByName(pairs)
+    return roles.where("role <> 'upper'").unionByName(upper).unionByName(pairs).unionByName(same)
 
 
 def collected(learned: DataFrame) -> Model:
@@ -180,7 +207,11 @@ def collected(learned: DataFrame) -> Model:
     if n > MAX_TYPES:
         raise ValueError(f"{n} learned types exceed {MAX_TYPES}; raise the thresholds ABBREVIATION, FOLLOWED, COLLOCATION or STARTER")
     m = Model()
-    for r in learned.collect():
+    for r in learned.toLocalIterator():
+        if r.role == "same":
+            m.same[r.lang] = r.v
+            continue
+        m.longest = max(m.longest, len(r.w))
         at = {"abbreviation": m.abbreviations, "lower": m.lower, "digit": m.digit, "upper": m.upper, "starter": m.starters, "pair": m.pairs}[r.role]
         at.setdefault(r.lang, set()).add((r.w, r.v) if r.role == "pair" else r.w)
     return m
@@ -218,7 +249,7 @@ def starts(text: str | None, model: Model) -> list[int]:
     if not text:
         return []
     t = text.translate(_SAME_LENGTH) if _ODD.search(text) else text
-    lang = language(t)
+    lang = model.language(t)
     capital = not t.isupper()
     abbreviations, lower, digit, upper, pairs, starters = (x.get(lang, _EMPTY) for x in (model.abbreviations, model.lower, model.digit, model.upper, model.pairs, model.starters))
     out = []
@@ -260,7 +291,8 @@ def starts(text: str | None, model: Model) -> list[int]:
             dash = line[nxt] in "—–-"
             if dash and head.islower():
                 continue
-            before = _BEFORE.search(line[max(0, s - 60, line.rfind(" ", 0, s)):s])
+            # a longer word is none of the learned types, nor the one that follows
+            before = _BEFORE.search(line[max(0, s - 2 - 2 * max(model.longest, len(word)), line.rfind(" ", max(0, s - 2 - 2 * max(model.longest, len(word))), s)):s])
             w = before.group().replace("​", "") if before else ""
             if dots or mark[0] == "." and len(mark) > 1 and mark[-1] in ".…":
                 if head.islower() and not m["tail"]:
@@ -295,7 +327,7 @@ def _first(line: str, at: int) -> str:
 
 
 def split_sentences(df: DataFrame, model: Model, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
-    """The operator: (id, sentence_no, start_char, sentence), one row per sentence of each distinct (id, text); sentences run to the next one's start without outer blanks. NULL, empty and blank texts give no row; extra columns are ignored."""
+    """The operator: (id, sentence_no, start_char, sentence), one row per sentence of each row; sentences run to the next one's start without outer blanks. NULL, empty and blank texts give no row; repeated rows repeat theirs; extra columns are ignored."""
     held = df.sparkSession.sparkContext.broadcast(model)
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
 
@@ -317,5 +349,5 @@ def split_sentences(df: DataFrame, model: Model, id_col: str = "text_id", text_c
 
 
 def sentence_units(df: DataFrame, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
-    """Learns from the table, then splits it; repeated rows count once."""
+    """Learns from the table, then splits it; repeated rows repeat their sentences."""
     return split_sentences(df, collected(learn(df, text_col)), id_col, text_col)
