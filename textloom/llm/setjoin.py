@@ -105,6 +105,14 @@ def bloom(df: DataFrame, col: str) -> np.ndarray:
     return out
 
 
+def bits_of(keys: np.ndarray) -> np.ndarray:
+    """The same filter of 64-bit numbers at hand."""
+    size = 1 << max(16, min(21, (max(1, len(keys) // 4) - 1).bit_length()))
+    out, one, six = np.zeros(size, dtype=np.uint64), np.uint64(1), np.uint64(63)
+    np.bitwise_or.at(out, (keys & np.uint64(size - 1)).astype(np.int64), (one << ((keys >> np.uint64(40)) & six)) | (one << ((keys >> np.uint64(46)) & six)))
+    return out
+
+
 def in_bloom(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     k, one, six = key.view(np.uint64), np.uint64(1), np.uint64(63)
     w = bits[(k & np.uint64(len(bits) - 1)).astype(np.int64)]
