@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chars import _ALWAYS, _WORDS, CYRILLIC_LOOKALIKE, CYRILLIC_OF_GREEK, GREEK_OF_CYRILLIC, LATIN_LOOKALIKE, _composed, back_map, fix_text
+from .chars import _ALWAYS, _MARKS_POSSIBLE, _PLAIN_WORDS, _WORDS, CYRILLIC_LOOKALIKE, CYRILLIC_OF_GREEK, GREEK_OF_CYRILLIC, LATIN_LOOKALIKE, _composed, back_map, fix_text
 from .setjoin import mix
 
 #: N-grams broadcast at once; more items are searched in further blocks, each over all documents.
@@ -27,14 +27,32 @@ _MULT = 0x9E3779B97F4A7C15
 _LOOK = str.maketrans({a.lower(): b.lower() for a, b in zip(LATIN_LOOKALIKE + GREEK_OF_CYRILLIC, CYRILLIC_LOOKALIKE + CYRILLIC_OF_GREEK)})
 
 
-def look_words(text: str) -> list[str]:
-    """The words of a text in consistent form, small letters, look-alikes of all alphabets as one."""
-    return _WORDS.findall((_composed(text) if _ALWAYS.search(text) else text).lower().translate(_LOOK))
+class Codes(dict):
+    """Numbers of words by their look among the items' words, 0 for any other word; words met are remembered, up to a fixed number."""
 
+    def __init__(self, known: dict[str, int]):
+        super().__init__()
+        self.known = known
 
-def _word_codes(text: str, codes: dict[str, int]) -> np.ndarray:
-    """Codes of the words of a text among the items' words, 0 for any other word."""
-    return np.fromiter((codes.get(w, 0) for w in look_words(text)), dtype=np.uint64)
+    def __reduce__(self):
+        return Codes, (self.known,)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        code = self[word] = self.known.get(word.translate(_LOOK), 0)
+        return code
+
+
+def _split(text: str) -> list[str]:
+    """The words of a text without invisible characters and with composed letters, in small letters."""
+    text = (_composed(text) if _ALWAYS.search(text) else text).lower()
+    return (_WORDS if _MARKS_POSSIBLE.search(text) else _PLAIN_WORDS).findall(text)
+
+
+def _word_codes(text: str, codes: Codes) -> np.ndarray:
+    """Codes of the words of a text."""
+    return np.array([codes[w] for w in _split(text)], dtype=np.uint64)
 
 
 def _grams(code: np.ndarray, n: int) -> np.ndarray:
@@ -47,15 +65,15 @@ def _grams(code: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def index(items: list[tuple[int, str]], n: int) -> tuple[dict[str, int], np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+def index(items: list[tuple[int, str]], n: int) -> tuple[Codes, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
     """Word codes, sorted n-gram hashes, their (item, position), and the items' codes."""
-    codes: dict[str, int] = {}
+    known: dict[str, int] = {}
     coded = []
     for item, text in items:
-        ws = look_words(text)
+        ws = [w.translate(_LOOK) for w in _split(text)]
         for w in ws:
-            codes.setdefault(w, len(codes) + 1)
-        coded.append((item, np.array([codes[w] for w in ws], dtype=np.uint64)))
+            known.setdefault(w, len(known) + 1)
+        coded.append((item, np.array([known[w] for w in ws], dtype=np.uint64)))
     h, at = [], []
     for i, (_, c) in enumerate(coded):
         g = _grams(c, n)
@@ -63,7 +81,7 @@ def index(items: list[tuple[int, str]], n: int) -> tuple[dict[str, int], np.ndar
         at += [(i, p) for p in range(len(g))]
     hashes = np.concatenate(h) if h else np.empty(0, np.uint64)
     o = np.argsort(hashes, kind="stable")
-    return codes, hashes[o], np.array(at, dtype=np.int64).reshape(-1, 2)[o], coded
+    return Codes(known), hashes[o], np.array(at, dtype=np.int64).reshape(-1, 2)[o], coded
 
 
 def runs(code: np.ndarray, idx, n: int) -> list[tuple[int, int, int]]:
