@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .text import c
 
 SPAN = "STRUCT<start_char: INT, end_char: INT, value: STRING, label: STRING>"
-# Months, document words and city forms of the extraction rules.
+# Months and document words of the extraction rules, and their date, number and money patterns.
 MONTHS = ("січня", "лютого", "березня", "квітня", "травня", "червня", "липня", "серпня", "вересня", "жовтня", "листопада", "грудня")
 DOCUMENT_WORDS = ("№", "номер", "повідомлення", "заява", "документ", "звернення", "рішення", "договір", "запит", "лист")
 DATE_NUMERIC = r"(?U)\b(\d{1,2})[./-](\d{1,2})[./-](\d{4})\b"
@@ -113,5 +113,8 @@ def amounts(t: Column | str) -> Column:
     return F.array_distinct(F.filter(F.transform(got, number), lambda x: x.isNotNull()))
 
 
-def concat_spans(*arrays: Column) -> Column:
-    return reduce(lambda a, b: F.concat(a, b), arrays)
+def extracted(t: Column | str, places: tuple[tuple[str, str], ...] = ()) -> Column:
+    """ARRAY<struct(start_char, end_char, value, field)>: dates, places and document numbers of a text in one list."""
+    take = lambda arr, field: F.transform(arr, lambda s: F.struct(s["start_char"], s["end_char"], s["value"], F.lit(field).alias("field")))
+    out = F.concat(take(dates(t), "DATE"), take(document_ids(t), "DOC_ID"))
+    return F.concat(out, take(dictionary(t, places), "LOCATION")) if places else out

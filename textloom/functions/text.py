@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters and patterns of the cleaning rules.
@@ -19,6 +19,7 @@ EMAIL = r"(?iU)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 PHONE = r"(?U)(\+?\d[\d\s\-\(\)]{7,}\d)"
 ABBREVIATIONS = ("м", "вул", "пл", "пр", "пров", "р", "ст", "с", "ім", "п", "т", "див", "напр", "тобто", "тд", "т.д", "і т.д", "і т.п", "тис", "млн", "тел")
 DOT, DECIMAL = "<DOT>", "<DECIMAL_DOT>"
+SENTENCE_GAP = r"(?U)(?<=[.!?])\s+(?=(?:[\"\)\]]?\s*)?[A-ZА-ЯІЇЄҐ])"
 _CYRILLIC = "[А-Яа-яІіЇїЄєҐґ]"
 
 
@@ -59,20 +60,25 @@ def protect(t: Column | str, abbreviations: tuple[str, ...] = ABBREVIATIONS) ->
 def split_sentences(t: Column | str, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Column:
     """Sentences of a text: a mark, a blank and a capital (a quote or bracket may stand between) end one; fragments of a lone quote or bracket are dropped."""
     s = protect(F.trim(F.coalesce(c(t), F.lit(""))), abbreviations)
-    parts = F.split(s, r"(?U)(?<=[.!?])\s+(?=(?:[\"\)\]]?\s*)?[A-ZА-ЯІЇЄҐ])")
+    parts = F.split(s, SENTENCE_GAP)
     kept = F.filter(parts, lambda p: ~F.trim(p).isin('"', ")", "]", ""))
     restored = F.transform(kept, lambda p: F.trim(F.regexp_replace(F.replace(F.replace(F.trim(p), F.lit(DECIMAL), F.lit(".")), F.lit(DOT), F.lit(".")), r"(?U)\s+", " ")))
     return F.filter(restored, lambda p: p != "")
 
 
-def preprocess(t: Column | str) -> Column:
-    """struct(clean, normalized, masked, sentences, stats): the whole chain with its six counters."""
-    cl = clean(t)
-    no = normalize(cl)
-    m = mask(no)
-    sents = split_sentences(m["masked"])
-    stats = F.struct(F.length(F.coalesce(c(t), F.lit(""))).alias("chars_before"), F.length(m["masked"]).alias("chars_after"), m["urls"].alias("urls"), m["emails"].alias("emails"), m["phones"].alias("phones"), F.size(sents).alias("sentences"))
-    return F.struct(cl.alias("clean"), no.alias("normalized"), m["masked"].alias("masked"), sents.alias("sentences"), stats.alias("stats"))
+def apostrophes_first(t: Column | str) -> Column:
+    """The shorter order of cleaning: apostrophes, then masks, then white space; quotes and dashes stay."""
+    s = F.translate(F.coalesce(c(t), F.lit("")), APOSTROPHES, "'" * len(APOSTROPHES))
+    return clean(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, URL, "<URL>"), EMAIL, "<EMAIL>"), PHONE, "<PHONE>"))
+
+
+def preprocess(df: DataFrame, text: str) -> DataFrame:
+    """The rows with clean, normalized, masked, sentences and the counters chars_before, chars_after, urls, emails, phones, n_sentences: the whole chain, each step once."""
+    x = df.withColumn("clean", clean(text)).withColumn("normalized", normalize("clean"))
+    x = x.withColumn("_1", F.regexp_replace("normalized", URL, "<URL>")).withColumn("_2", F.regexp_replace("_1", EMAIL, "<EMAIL>")).withColumn("masked", F.regexp_replace("_2", PHONE, "<PHONE>"))
+    x = x.withColumn("urls", F.regexp_count("normalized", F.lit(URL))).withColumn("emails", F.regexp_count("_1", F.lit(EMAIL))).withColumn("phones", F.regexp_count("_2", F.lit(PHONE)))
+    x = x.withColumn("sentences", split_sentences("masked")).withColumn("n_sentences", F.size("sentences"))
+    return x.withColumn("chars_before", F.length(F.coalesce(c(text), F.lit("")))).withColumn("chars_after", F.length("masked")).drop("_1", "_2")
 
 
 def word_count(t: Column | str) -> Column:
@@ -97,11 +103,16 @@ def is_garbage(t: Column | str) -> Column:
     return (s == "") | s.rlike(r"(?U)^\d+$") | s.rlike(r"(?U)^[\W_]+$")
 
 
+def is_tricky(t: Column | str) -> Column:
+    """Latin letters, numbers with a point, apostrophes, hyphens or dashes, @ or #."""
+    return F.coalesce(c(t), F.lit("")).rlike(r"(?U)[A-Za-z]|\d+\.\d+|['ʼ’\-—–@#]")
+
+
 def difficulty(t: Column | str) -> Column:
-    """Additive score of what makes a text tricky: digits, Latin in Cyrillic text, long words, shouting, many marks, length."""
+    """Additive score of what makes a text tricky: Latin, apostrophes, numbers with a point and shouting count two, hyphens or dashes and @ or # one."""
     s = F.coalesce(c(t), F.lit(""))
-    terms = [s.rlike(r"(?U)\d"), s.rlike("[A-Za-z]") & s.rlike(_CYRILLIC), s.rlike(r"(?U)\w{15,}"), (F.upper(s) == s) & (F.lower(s) != s) & (F.length(s) >= 6), s.rlike(r"[!?]{2,}"), word_count(s) > 60]
-    return reduce(lambda a, b: a + b, [x.cast("int") for x in terms])
+    terms = [(s.rlike("[A-Za-z]"), 2), (s.rlike("['’ʼ]"), 2), (s.rlike("[-—–]"), 1), (s.rlike("[@#]"), 1), (s.rlike(r"(?U)\d+\.\d+"), 2), ((F.upper(s) == s) & (F.lower(s) != s) & (F.length(s) >= 6), 2)]
+    return reduce(lambda a, b: a + b, [x.cast("int") * n for x, n in terms])
 
 
 def topic_tokens(t: Column | str, stopwords: tuple[str, ...] = (), drop: tuple[str, ...] = (), least: int = 3) -> Column:

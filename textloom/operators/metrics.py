@@ -62,11 +62,11 @@ def threshold_sweep(df: DataFrame, thresholds: tuple[float, ...], score: str = "
     return q.select("threshold", "predicted_positive", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(z(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), 6).alias("f1"))
 
 
-def field_matches(gold: Column, pred: Column, fields: tuple[str, ...], ordered_lists: bool = True) -> Column:
-    """ARRAY<STRING> of the fields on which two structs differ; NULL equals NULL, lists may be compared without order."""
+def field_matches(gold: Column, pred: Column, fields: tuple[str, ...], unordered: tuple[str, ...] = ()) -> Column:
+    """ARRAY<STRING> of the fields on which two structs differ; NULL equals NULL, the `unordered` fields are lists compared without order."""
     def same(f: str) -> Column:
         a, b = gold[f], pred[f]
-        return a.eqNullSafe(b)
+        return F.array_sort(a).eqNullSafe(F.array_sort(b)) if f in unordered else a.eqNullSafe(b)
 
     return F.array_compact(F.array(*[F.when(~same(f), F.lit(f)) for f in fields]))
 
