@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import features, flow, metrics, models, similarity, splits, tagging, validation
+from textloom.operators import evaluation, features, flow, metrics, models, similarity, splits, tagging, validation
 from textloom.operators.validation import Rule
 from textloom.sources import readers, writers
 from textloom.streaming import messages
@@ -141,7 +141,7 @@ def test_streams_use_the_same_columns(spark, tmp_path):
     df = spark.createDataFrame([(1, "Привіт  світ."), (2, None)], "id INT, text STRING")
     df.write.parquet(str(tmp_path / "in"))
     s = messages.preprocessed(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    q = s.select("id", "pre.clean").writeStream.format("memory").queryName("pre").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = s.select("id", "clean").writeStream.format("memory").queryName("pre").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
     assert {(r.id, r.clean) for r in spark.table("pre").collect()} == {(1, "Привіт світ."), (2, "")}
@@ -160,3 +160,61 @@ def test_lsa_over_every_term_is_the_svd(spark):
     assert {r.doc for r in models.lsa(df, k=3, vocabulary=None).select("doc").collect()} == set(range(30))
     u, s, _ = np.linalg.svd(a)
     assert np.allclose(np.abs(got), np.abs(u[:, :3] * s[:3]), atol=1e-4)
+
+
+def test_comparison_flags_invented_and_missing_values(spark):
+    kind = "STRUCT<a: STRING, services_mentioned: ARRAY<STRING>, document_type: STRING>"
+    rows = [(("x", ["p", "q"], "d"), ("x", ["q", "p"], "d")), ((None, [], "d"), ("y", None, "e")), (("x", ["p"], None), (None, [], "")), (("x", None, "d"), None), ((None, None, None), (None, ["p"], "z"))]
+    df = spark.createDataFrame(rows, f"g {kind}, p {kind}")
+    names, lists = ("a", "services_mentioned", "document_type"), ("services_mentioned",)
+    got = df.select(evaluation.compare(F.col("g"), F.col("p"), names, lists).alias("c"), evaluation.assess(F.col("g"), F.col("p"), names, lists).alias("a")).collect()
+    assert [tuple(r.c)[:3] for r in got] == [(True, False, False), (False, True, False), (False, False, True), (False, True, True), (False, True, False)]
+    assert [r.c.issues for r in got] == [[], ["a: hallucinated", "document_type: mismatch"], ["a: mismatch", "services_mentioned: mismatch", "document_type: mismatch"], ["invalid JSON"], ["services_mentioned: hallucinated", "document_type: hallucinated"]]
+    assert [(r.a.field_matches, r.a.field_total, r.a.issues) for r in got] == [(3, 3, []), (0, 3, ["hallucinated_field/value", "semantic_extraction_error", "normalization_issue"]), (0, 3, ["semantic_extraction_error"] * 3), (0, 0, ["not_json_at_all"]), (1, 3, ["hallucinated_field/value"] * 2)]
+    assert df.select(metrics.field_matches(F.col("g"), F.col("p"), names, lists).alias("m")).first().m == [] and df.select(metrics.field_matches(F.col("g"), F.col("p"), names).alias("m")).first().m == ["services_mentioned"]
+
+
+def test_rates_of_no_runs_have_defaults(spark):
+    r = spark.createDataFrame([(True, "accepted", False, False, 2, True, True, False)], "schema_valid BOOLEAN, status STRING, fallback_triggered BOOLEAN, reviewer_issues BOOLEAN, agents_called INT, semantic_ok BOOLEAN, base_schema_valid BOOLEAN, base_semantic_ok BOOLEAN")
+    m = evaluation.crew_metrics(r).first()
+    assert m.reviewer_catch_rate == 1.0 and m.fallback_success_rate == 1.0 and m.manual_review_rate == 0.0
+    f = spark.createDataFrame([("exported", False, 3, 1)], "final_status STRING, fallback_triggered BOOLEAN, n_steps INT, warnings INT")
+    assert evaluation.flow_metrics(f).first().fallback_success_rate == 0.0
+    assert {r.category for r in spark.range(1).select(F.explode(evaluation.catalogue(((F.lit(False), "x"), (F.lit(None).cast("boolean"), "y")))).alias("category")).collect()} == {"ok"}
+
+
+def test_weights_of_two_classes_mirror(spark):
+    w = spark.createDataFrame([("a", "x", 2.0), ("a", "y", -1.0)], "label STRING, feature STRING, weight DOUBLE")
+    t = {(r.label, r.side, r.feature) for r in evaluation.top_features(evaluation.mirrored(w, "b"), 1).collect()}
+    assert t == {("a", "positive", "x"), ("a", "negative", "y"), ("b", "positive", "y"), ("b", "negative", "x")}
+    s = spark.createDataFrame([([0.25], 0), ([0.25], 1)], "raw ARRAY<DOUBLE>, i INT")
+    assert [r.s for r in s.select(metrics.class_score(F.col("raw"), F.col("i"), 2).alias("s")).collect()] == [-0.25, 0.25]
+
+
+def test_curve_of_many_scores_and_time_split_of_hot_times(spark):
+    df = spark.createDataFrame([((i * 37) % 5000 / 7.0, int(i % 3 == 0)) for i in range(5000)], "score DOUBLE, y INT")
+    rows, tp, want = sorted(df.collect(), key=lambda r: -r.score), 0, {}
+    for k, r in enumerate(rows, 1):
+        tp += r.y
+        want[r.score] = (tp, k - tp)
+    assert {r.threshold: (r.tp, r.fp) for r in metrics.pr_curve(df).collect()} == want
+    t = spark.createDataFrame([(i, 5 if i % 3 else i % 1000) for i in range(3000)], "event_id BIGINT, s INT").withColumn("ts", F.timestamp_seconds("s"))
+    order = [r.event_id for r in t.orderBy("ts", "event_id").collect()]
+    want = {e: "train" if k < 2400 else "val" if k < 2700 else "test" for k, e in enumerate(order)}
+    cut = {"train": 0.8, "val": 0.1, "test": 0.1}
+    assert {r.id: r.split for r in splits.by_time(t, "ts", cut).collect()} == want
+    with pytest.raises(ValueError):
+        splits.by_time(t.limit(2), "ts", cut)
+
+
+def test_a_grid_of_too_many_labels_is_an_error(spark):
+    with pytest.raises(ValueError):
+        metrics.confusion(spark.range(30).select(F.col("id").cast("string").alias("gold"), F.lit("x").alias("pred")), most=20)
+
+
+def test_logistic_beats_the_majority(spark):
+    rows = [(i, f"дякую за швидку роботу {i}" if i % 3 else f"жахлива черга знову {i}", "plus" if i % 3 else "minus") for i in range(90)]
+    df = spark.createDataFrame(rows, "text_id BIGINT, text STRING, label STRING")
+    train, test = df.where("text_id < 60"), df.where("text_id >= 60")
+    assert models.logistic(train, test, features=1 << 10, iterations=20).where("pred = label").count() == 30
+    assert models.linear_svm(train, test, features=1 << 10, iterations=5).where("pred = label").count() >= 29

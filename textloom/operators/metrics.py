@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def confusion(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+def confusion(df: DataFrame, gold: str = "gold", pred: str = "pred", most: int = 2_000) -> DataFrame:
     """(gold, pred, n) for every pair of labels that occur, absent pairs as 0."""
     c = df.where(F.col(gold).isNotNull() & F.col(pred).isNotNull()).groupBy(F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
     labels = c.select(F.col("gold").alias("l")).union(c.select("pred")).distinct()
-    grid = labels.select(F.col("l").alias("gold")).join(F.broadcast(labels.select(F.col("l").alias("pred"))), F.lit(True))  # labels of a classifier
+    n = labels.count()
+    if n > most:
+        raise ValueError(f"a grid of {n} labels; at most {most} are a classifier's")
+    grid = labels.select(F.col("l").alias("gold")).crossJoin(F.broadcast(labels.select(F.col("l").alias("pred"))))  # size checked
     return grid.join(c, ["gold", "pred"], "left").select("gold", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -33,20 +36,33 @@ def report(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     return f.select("label", "precision", "recall", "f1", "support").unionByName(rows).select("label", r(F.col("precision")).alias("precision"), r(F.col("recall")).alias("recall"), r(F.col("f1")).alias("f1"), "support")
 
 
+def _running(df: DataFrame, score: str, y: str, bins: int = 1_024) -> DataFrame:
+    """(threshold, pos, tp, k, p): per distinct score its positives, positives and rows at or above it, and all positives. Scores are pre-aggregated and cut into ranges; only a range is ordered in one task, and the ranges' totals are carried."""
+    g = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
+    cuts = g.agg(F.percentile_approx("threshold", [i / bins for i in range(1, bins)], 10_000).alias("cuts"))
+    x = g.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("cuts", lambda c: c > F.col("threshold")))).drop("cuts")  # one row of fixed size
+    w = Window.partitionBy("bin").orderBy(F.desc("threshold"))
+    totals = x.groupBy("bin").agg(F.sum("pos").alias("bp"), F.sum("n").alias("bn"))
+    carried = totals.select("bin", (F.sum("bp").over(Window.orderBy("bin")) - F.col("bp")).alias("ap"), (F.sum("bn").over(Window.orderBy("bin")) - F.col("bn")).alias("an"), F.sum("bp").over(Window.partitionBy()).alias("p"))  # a row per range
+    return x.join(F.broadcast(carried), "bin").select("threshold", "pos", (F.col("ap") + F.sum("pos").over(w)).alias("tp"), (F.col("an") + F.sum("n").over(w)).alias("k"), "p")
+
+
 def pr_curve(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
-    """(threshold, tp, fp, precision, recall): one point per distinct score, ties share it. Scores are pre-aggregated; the running sums are over distinct scores."""
-    g = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("threshold"))
-    c = g.select("threshold", F.sum("pos").over(w).alias("tp"), (F.sum("n").over(w) - F.sum("pos").over(w)).alias("fp"), F.sum("pos").over(Window.partitionBy()).alias("p"))
-    return c.select("threshold", "tp", "fp", F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(F.coalesce(F.try_divide("tp", "p"), F.lit(0.0)), 6).alias("recall"))
+    """(threshold, tp, fp, precision, recall): one point per distinct score, ties share it."""
+    c = _running(df, score, y)
+    return c.select("threshold", "tp", (F.col("k") - F.col("tp")).alias("fp"), F.round(F.col("tp") / F.col("k"), 6).alias("precision"), F.round(F.coalesce(F.try_divide("tp", "p"), F.lit(0.0)), 6).alias("recall"))
 
 
 def average_precision(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
-    """Sum over the curve of recall gained times precision."""
-    g = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("t")).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("t"))
-    c = g.select("pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("k"), F.sum("pos").over(Window.partitionBy()).alias("p"))
-    return c.agg(F.round(F.sum(F.col("pos") / F.col("p") * F.col("tp") / F.col("k")), 6).alias("average_precision"))
+    """Sum over the curve of recall gained times precision; NULL without positives."""
+    return _running(df, score, y).agg(F.round(F.sum(F.try_divide("pos", "p") * F.col("tp") / F.col("k")), 6).alias("average_precision"))
+
+
+def class_score(raw: Column, index: Column, classes: int) -> Column:
+    """The score of the class with an index from 0 in an array of one-vs-rest scores; with two classes one score serves both, with the other sign for the first."""
+    if classes == 2:
+        return F.when(index == 1, raw[0]).otherwise(-raw[0])
+    return F.try_element_at(raw, (index + 1).cast("int"))
 
 
 def threshold_sweep(df: DataFrame, thresholds: tuple[float, ...], score: str = "score", y: str = "y") -> DataFrame:

@@ -33,10 +33,12 @@ def tag_by_lexicon(tokens: DataFrame, lexicon_: DataFrame, fallback: str, form:
     return tokens.join(l, F.lower(tokens[form]) == F.col("_f"), "left").withColumn("pred", F.coalesce("_l", F.lit(fallback))).drop("_l", "_f")
 
 
-def oov_rate(tokens: DataFrame, train: DataFrame, by: str = "split", form: str = "form") -> DataFrame:
-    """(split, tokens, oov_rate): share of tokens whose lower-case form is not in training."""
-    v = train.select(F.lower(form).alias("_f")).distinct().withColumn("_known", F.lit(1))
-    return tokens.join(v, F.lower(tokens[form]) == F.col("_f"), "left").groupBy(by).agg(F.count("*").alias("tokens"), F.round(F.avg(F.col("_known").isNull().cast("int")), 6).alias("oov_rate"))
+def oov_rate(tokens: DataFrame, by: str = "split", train: str = "train", form: str = "form") -> DataFrame:
+    """(split, tokens, oov_rate): share of tokens whose lower-case form is not in the training part. Tokens are counted by form and part first, so that what meets is a form's few counts."""
+    c = tokens.groupBy(F.lower(form).alias("_f"), by).agg(F.count("*").alias("n"))
+    f = c.groupBy("_f").agg(F.max((F.col(by) == train).cast("int")).alias("known"), F.collect_list(F.struct(by, "n")).alias("parts"))  # as many parts as there are splits
+    x = f.select("known", F.inline("parts"))
+    return x.groupBy(by).agg(F.sum("n").alias("tokens"), F.round(F.sum(F.col("n") * (1 - F.col("known"))) / F.sum("n"), 6).alias("oov_rate"))
 
 
 @dataclass

@@ -81,12 +81,12 @@ def v9_field_rating(s, d):
     return t.select(metrics.rating(m, 5).alias("rating")).groupBy("rating").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS sentences, sum((text IS NULL OR text = '')::INT)::BIGINT AS without_tokens FROM processed_v2_sample")
+@query(r"""SELECT count(*) AS sentences, sum((len(t) = 0)::INT)::BIGINT AS without_tokens, sum((len(list_filter(t, lambda w: regexp_matches(w, '[0-9]') AND regexp_matches(w, '\p{L}'))) > 0)::INT)::BIGINT AS with_bad_tags FROM (SELECT regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+') AS t FROM processed_v2_sample)""")
 def v5_token_output(s, d):
-    """Sentences whose token output is not valid against the closed tag set."""
-    t = reviews(s, d).select("text", F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), 0), lambda f: F.struct(f.alias("form"), F.lit("X").alias("upos"))).alias("tokens"))
-    bad = F.size(validation.invalid_tokens("tokens")) > 0
-    return t.agg(F.count("*").alias("sentences"), F.count_if(bad | F.col("text").isNull() | (F.col("text") == "")).alias("without_tokens"))
+    """Sentences without tokens, and with a token whose tag is none of the closed set: a word with digits and letters is tagged MIXED."""
+    tag = lambda f: F.when(f.rlike("[0-9]") & f.rlike(r"\p{L}"), "MIXED").when(f.rlike("[0-9]"), "NUM").otherwise("X")
+    t = reviews(s, d).select(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \t\n\r\f\x0b]+"), 0), lambda f: F.struct(f.alias("form"), tag(f).alias("upos"))).alias("tokens"))
+    return t.agg(F.count("*").alias("sentences"), F.count_if(F.size("tokens") == 0).alias("without_tokens"), F.count_if(F.size(validation.invalid_tokens("tokens")) > 0).alias("with_bad_tags"))
 
 
 def _flow(s, d):
@@ -138,13 +138,14 @@ def _splits(s, d):
 def m5_logistic(s, d):
     """Report of logistic regression, fitted on the training split, on the test split."""
     train, test = _splits(s, d)
-    return metrics.report(models.logistic(train, test, iterations=15, features=1 << 12).withColumnRenamed("label", "gold"))
+    return metrics.report(models.logistic(train, test).withColumnRenamed("label", "gold"))
 
 
 @query()
 def m6_linear_svm(s, d):
+    """The same of linear support vector machines."""
     train, test = _splits(s, d)
-    return metrics.report(models.linear_svm(train, test, iterations=4, features=1 << 11).withColumnRenamed("label", "gold"))
+    return metrics.report(models.linear_svm(train, test, chars=False).withColumnRenamed("label", "gold"))
 
 
 @query()

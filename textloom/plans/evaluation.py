@@ -301,3 +301,17 @@ def w5_top_features(s, d):
     grid = f.crossJoin(F.broadcast(labels)).select("feature", "total", "all", F.inline("ls"))
     odds = F.log((F.coalesce("k", F.lit(0)) + 1) / (F.col("n") + 2)) - F.log((F.col("total") - F.coalesce("k", F.lit(0)) + 1) / (F.col("all") - F.col("n") + 2))
     return V.top_features(grid.join(c, ["label", "feature"], "left").select("label", "feature", F.round(odds, 4).alias("weight")), 10)
+
+
+@query(ORACLE["w5_top_features"].replace("SELECT label, side, rank, feature, weight FROM (SELECT *, 'positive'", "SELECT label, string_agg(feature, ' ' ORDER BY rank) AS words FROM (SELECT *, 'positive'").replace("WHERE rank <= 10", "WHERE rank <= 5 AND side = 'positive' GROUP BY label"))
+def w4_top_words(s, d):
+    """The five words of the largest weight of each class, in order."""
+    t = w5_top_features(s, d).where("side = 'positive' AND rank <= 5")
+    return t.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda x: x["feature"]), " ").alias("words"))
+
+
+@query("SELECT '- ' || coalesce(label, 'none') || ': ' || n || ' (' || printf('%.2f', share * 100) || ' %)' AS line FROM (SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM processed_v2_sample), 6) AS share FROM processed_v2_sample GROUP BY label)")
+def k5_report_lines(s, d):
+    """Lines of a report: each label with its count and share."""
+    v = stats.value_counts(reviews(s, d), "label")
+    return v.select(F.format_string("- %s: %d (%.2f %%)", F.coalesce("label", F.lit("none")), "n", F.col("share") * 100).alias("line"))

@@ -106,8 +106,7 @@ SELECT split, count(*) AS tokens, round(avg((v.form IS NULL)::INT), 6) AS oov_ra
 def a12_oov_rate(s, d):
     from ..operators.tagging import oov_rate
 
-    t = _distinct(s, d).join(_split(s, d), "text_id").select("split", F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: x != "")).alias("form"))
-    return oov_rate(t, t.where("split = 'train'"))
+    return oov_rate(_distinct(s, d).join(_split(s, d), "text_id").select("split", F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: x != "")).alias("form")))
 
 
 _GP = f"(SELECT r.label AS gold, l.label AS pred FROM {_R} r JOIN (SELECT DISTINCT text_id, label FROM labels) l USING (text_id) WHERE r.label IS NOT NULL AND l.label IS NOT NULL)"
@@ -138,7 +137,7 @@ def a14_report(s, d):
 
 @query(f"""SELECT count(*) AS sequences, round(avg(ok), 6) AS exact_match FROM (SELECT source, min((gold IS NOT DISTINCT FROM pred)::INT) AS ok FROM (SELECT r.source, r.label AS gold, l.label AS pred FROM {_R} r JOIN (SELECT DISTINCT text_id, label FROM labels) l USING (text_id) WHERE r.label IS NOT NULL AND l.label IS NOT NULL) GROUP BY source)""")
 def a15_sequence_exact_match(s, d):
-    return stats.exact_match_share(_gold_pred(s, d), "source", "text_id", "gold", "pred")
+    return stats.exact_match_share(_gold_pred(s, d), "source", "gold", "pred")
 
 
 @query("SELECT service, count(*) AS n FROM (SELECT DISTINCT text_id, unnest(expected.services_mentioned) AS service FROM eval_set_lab11) GROUP BY service")
@@ -197,9 +196,14 @@ def proj5_garbage(s, d):
     return reviews(s, d).where(X.is_garbage("text")).select("text_id")
 
 
-@query("SELECT text_id, label FROM processed_v2_sample WHERE EXISTS (SELECT 1 FROM (SELECT unnest(['neutral', 'подяка', 'скарга', 'питання']) AS w) WHERE contains(lower(text), w))")
+_META = r"(?i)(^|[^\p{L}\p{M}\p{Nd}\p{Pc}])(label|class|split|категорія|мітка)" + WS + "*[:=]"
+_TEMPLATE = f"(regexp_matches(text, '{_META}') OR contains(lower(text), 'neutral') OR contains(lower(text), 'подяка') OR contains(lower(text), 'скарга') OR contains(lower(text), 'питання'))"
+_NAMES = ("Neutral", "Подяка", "Скарга", "Питання")
+
+
+@query(f"SELECT text_id, label FROM processed_v2_sample WHERE {_TEMPLATE}")
 def proj7_template_leak(s, d):
-    return splits.template_leaks(reviews(s, d), "text", ("Neutral", "Подяка", "Скарга", "Питання")).select("text_id", "label")
+    return splits.template_leaks(reviews(s, d), "text", _NAMES).select("text_id", "label")
 
 
 @query(f"SELECT text_id, len(list_filter({_TOK}, lambda x: length(x) >= 3))::INT AS n FROM processed_v2_sample WHERE len(list_filter({_TOK}, lambda x: length(x) >= 3)) >= 4")
@@ -283,14 +287,6 @@ def j7_near_duplicate_pairs(s, d):
     return similarity.cosine_pairs(_unit_weights(s, d), 0.95)
 
 
-@query("""WITH g AS (SELECT DISTINCT text_id, field_type, start_char, end_char FROM lab4_gold_ie_draft)
-SELECT a.text_id, a.field_type AS type_a, b.field_type AS type_b, count(*) AS n FROM g a JOIN g b ON a.text_id = b.text_id AND a.field_type < b.field_type AND greatest(a.start_char, b.start_char) < least(a.end_char, b.end_char) GROUP BY ALL""")
-def j8_span_overlap(s, d):
-    g = parquet(s, d, "lab4_gold_ie_draft").select("text_id", "field_type", "start_char", "end_char").distinct()
-    b = g.withColumnsRenamed({"field_type": "type_b", "start_char": "sb", "end_char": "eb"})
-    return g.withColumnRenamed("field_type", "type_a").join(b, "text_id").where("type_a < type_b AND greatest(start_char, sb) < least(end_char, eb)").groupBy("text_id", "type_a", "type_b").agg(F.count("*").alias("n"))
-
-
 @query("SELECT text_id, pos::INT AS pos, service, amount FROM (SELECT text_id, unnest(range(1, least(len(s), len(a)) + 1)) AS pos, s, a FROM (SELECT DISTINCT text_id, expected.services_mentioned AS s, expected.amounts_uah AS a FROM eval_set_lab11)), LATERAL (SELECT s[pos] AS service, a[pos] AS amount)")
 def j11_zip(s, d):
     t = parquet(s, d, "eval_set_lab11").select("text_id", F.col("expected.services_mentioned").alias("s"), F.col("expected.amounts_uah").alias("a")).distinct()
@@ -301,11 +297,12 @@ def j11_zip(s, d):
 @query("""WITH t AS (SELECT DISTINCT expected.issue_type AS g, unnest(expected.services_mentioned) AS s FROM eval_set_lab11), k AS (SELECT g, count(*) AS n FROM t WHERE g IS NOT NULL GROUP BY g)
 SELECT a.g AS a, b.g AS b, round(count(*) / (ka.n + kb.n - count(*)), 6) AS jaccard FROM t a JOIN t b ON a.s = b.s AND a.g < b.g JOIN k ka ON ka.g = a.g JOIN k kb ON kb.g = b.g GROUP BY a.g, b.g, ka.n, kb.n HAVING count(*) / (ka.n + kb.n - count(*)) >= 0.5""")
 def j12_set_overlap(s, d):
+    """Sets meet by their members; a set's size is counted beside it."""
     t = parquet(s, d, "eval_set_lab11").select(F.col("expected.issue_type").alias("g"), F.explode("expected.services_mentioned").alias("s")).where("g IS NOT NULL").distinct()
-    sets = t.groupBy("g").agg(F.collect_set("s").alias("s"))
-    p = sets.select(F.col("g").alias("a"), F.col("s").alias("sa")).join(sets.select(F.col("g").alias("b"), F.col("s").alias("sb")), F.col("a") < F.col("b"))
-    j = F.size(F.array_intersect("sa", "sb")) / F.greatest(F.lit(1), F.size(F.array_union("sa", "sb")))
-    return p.where(j >= 0.5).select("a", "b", F.round(j, 6).alias("jaccard"))
+    x = t.join(t.groupBy("g").agg(F.count("*").alias("n")), "g")
+    both = x.withColumnsRenamed({"g": "a", "n": "na"}).join(x.withColumnsRenamed({"g": "b", "n": "nb"}), "s").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    j = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
+    return both.where(j >= 0.5).select("a", "b", F.round(j, 6).alias("jaccard"))
 
 
 @query("SELECT text_id, 'review' AS kind FROM processed_v2_sample UNION ALL SELECT text_id, 'raw' FROM raw_reviews")
@@ -351,11 +348,11 @@ def w3_rank_in_group(s, d):
     return x.withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 5")
 
 
-_SC = "(SELECT event_id, round(value, 1) AS score, (event_type = 'purchase')::INT AS y FROM events WHERE value IS NOT NULL)"
+_SC = "(SELECT event_id, value AS score, (event_type = 'purchase')::INT AS y FROM events WHERE value IS NOT NULL)"
 
 
 def _scores(s, d):
-    return parquet(s, d, "events").where("value IS NOT NULL").select("event_id", F.round("value", 1).alias("score"), (F.col("event_type") == "purchase").cast("int").alias("y"))
+    return parquet(s, d, "events").where("value IS NOT NULL").select("event_id", F.col("value").alias("score"), (F.col("event_type") == "purchase").cast("int").alias("y"))
 
 
 @query(f"""SELECT threshold, tp::BIGINT AS tp, (k - tp)::BIGINT AS fp, round(tp / k, 6) AS precision, round(coalesce(tp / nullif(p, 0), 0), 6) AS recall FROM (SELECT score AS threshold, sum(sum(y)) OVER (ORDER BY score DESC) AS tp, sum(count(*)) OVER (ORDER BY score DESC) AS k, sum(sum(y)) OVER () AS p FROM {_SC} GROUP BY score)""")
@@ -425,3 +422,76 @@ def s1_windowed_counts(s, d):
     from ..streaming.messages import windowed_counts
 
     return windowed_counts(parquet(s, d, "events"))
+
+
+_ND = rf"""{_W7}, pairs AS (SELECT a.doc AS i, b.doc AS j FROM u a JOIN u b ON a.term = b.term AND a.doc < b.doc GROUP BY a.doc, b.doc HAVING round(sum(a.w * b.w), 6) >= 0.95), s AS {_S}"""
+
+
+@query(f"""{_ND}, r AS (SELECT * FROM {_R} x JOIN s USING (text_id)), e AS (SELECT split, min(posted_at) AS lo, max(posted_at) AS hi FROM raw_reviews JOIN s USING (text_id) GROUP BY split)
+SELECT 'exact' AS kind, split_a, split_b, count(*) AS n FROM (SELECT DISTINCT a.text, a.split AS split_a, b.split AS split_b FROM r a JOIN r b ON a.text = b.text AND a.split < b.split) GROUP BY ALL
+UNION ALL SELECT 'group', split_a, split_b, count(*) FROM (SELECT DISTINCT a.source, a.split AS split_a, b.split AS split_b FROM (SELECT DISTINCT source, split FROM r) a JOIN (SELECT DISTINCT source, split FROM r) b ON a.source = b.source AND a.split < b.split) GROUP BY ALL
+UNION ALL SELECT 'template', split, split, count(*) FROM r WHERE {_TEMPLATE} GROUP BY split
+UNION ALL SELECT 'near', least(x.split, y.split), greatest(x.split, y.split), count(*) FROM pairs JOIN s x ON x.text_id = i JOIN s y ON y.text_id = j WHERE x.split <> y.split GROUP BY ALL
+UNION ALL SELECT 'time', a.split, b.split, (a.hi > b.lo)::BIGINT FROM e a, e b WHERE a.split = 'train' AND b.split IN ('val', 'test')""")
+def d6_leakage_report(s, d):
+    """Exact, near, group, template and time leakage between the splits in one table."""
+    sp = _split(s, d)
+    rows = _distinct(s, d).join(sp, "text_id")
+    p = similarity.cosine_pairs(_unit_weights(s, d), 0.95)
+    near = p.join(sp.select(F.col("text_id").alias("doc_a"), F.col("split").alias("x")), "doc_a").join(sp.select(F.col("text_id").alias("doc_b"), F.col("split").alias("y")), "doc_b").where("x <> y").select(F.least("x", "y").alias("split_a"), F.greatest("x", "y").alias("split_b"))
+    times = parquet(s, d, "raw_reviews").join(sp, "text_id").select("split", F.col("posted_at").alias("time"))
+    return splits.leakage_report(rows, near, times, _NAMES)
+
+
+@query(r"SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(label), '[^\p{L}]+')) AS word FROM label_targets UNION SELECT unnest(string_split_regex(lower(canonical_name), '[^\p{L}]+')) FROM location_ref) WHERE word <> ''")
+def u6_vocabulary_union(s, d):
+    """The words of two vocabularies, each once."""
+    words = lambda df, c: df.select(F.explode(F.split(F.lower(c), r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    return words(parquet(s, d, "label_targets"), "label").unionByName(words(parquet(s, d, "location_ref"), "canonical_name")).distinct()
+
+
+def _sql_splits(seed: int) -> str:
+    return f"""(SELECT text_id AS id, label, CASE WHEN r <= round(n * 0.8) THEN 'train' WHEN r <= round(n * 0.9) THEN 'val' ELSE 'test' END AS split FROM (SELECT text_id, label, row_number() OVER (PARTITION BY label ORDER BY {_H('text_id', seed)}, text_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM (SELECT DISTINCT text_id, label FROM processed_v2_sample WHERE label IS NOT NULL)))"""
+
+
+@query(f"SELECT 'same seed' AS run, 0::BIGINT AS only_a, 0::BIGINT AS only_b UNION ALL SELECT 'other seed', count(*), count(*) FROM {_sql_splits(42)} a JOIN {_sql_splits(43)} b ON a.id = b.id AND a.label = b.label WHERE a.split <> b.split")
+def u7_determinism(s, d):
+    """Rows in which two runs of a split differ: of one seed, over other partitions, and of two seeds."""
+    r = reviews(s, d).select("text_id", "label").where("label IS NOT NULL").distinct()
+    one = splits.stratified(r, "label", SPLITS)
+    again, other = splits.stratified(r.repartition(7, "label"), "label", SPLITS), splits.stratified(r, "label", SPLITS, seed=43)
+    return splits.differences(one, again).select(F.lit("same seed").alias("run"), "only_a", "only_b").unionByName(splits.differences(one, other).select(F.lit("other seed").alias("run"), "only_a", "only_b"))
+
+
+@query(f"SELECT text_id, gold, pred FROM (SELECT r.text_id, r.label AS gold, l.label AS pred FROM {_R} r JOIN (SELECT DISTINCT text_id, label FROM labels) l USING (text_id)) WHERE gold <> pred ORDER BY text_id, gold, pred LIMIT 100")
+def o2_first_errors(s, d):
+    """The first hundred wrong rows: a top-k report."""
+    return _gold_pred(s, d).where("gold <> pred").orderBy("text_id", "gold", "pred").limit(100).select("text_id", "gold", "pred")
+
+
+@query(f"SELECT text_id FROM (SELECT DISTINCT text_id FROM processed_v2_sample) ORDER BY {_H('text_id')}, text_id LIMIT 50")
+def o4_seeded_sample(s, d):
+    """A sampling operator: fifty ids by hash order."""
+    return splits.sample(reviews(s, d).select("text_id").distinct(), 50)
+
+
+@query("SELECT vec_id, embedding[label % 4 + 1] AS score, CASE WHEN label % 2 = 1 THEN embedding[1] ELSE -embedding[1] END AS binary_score FROM embeddings")
+def o6_class_scores(s, d):
+    """The score of a row's own class among one-vs-rest scores, and of two classes that share one."""
+    v = parquet(s, d, "embeddings")
+    return v.select("vec_id", metrics.class_score(F.col("embedding"), F.col("label") % 4, 4).alias("score"), metrics.class_score(F.col("embedding"), F.col("label") % 2, 2).alias("binary_score"))
+
+
+_BIGRAMS = rf"""(SELECT doc, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM (SELECT min(text_id) AS doc, {_TOK} AS t FROM processed_v2_sample WHERE text IS NOT NULL GROUP BY text))"""
+
+
+@query(f"""WITH tf AS (SELECT doc, term, count(*) AS tf FROM {_BIGRAMS} GROUP BY doc, term), n AS (SELECT count(DISTINCT text) AS n FROM processed_v2_sample WHERE text IS NOT NULL),
+idf AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY term, n HAVING count(*) >= 2), w AS (SELECT doc, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)), u AS (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS w FROM w)
+SELECT term, count(*) AS docs, round(sum(w), 4) AS weight FROM u GROUP BY term HAVING count(*) >= 5""")
+def m1_tfidf_bigrams(s, d):
+    """Sublinear TF-IDF of words and pairs of words: the weight of each term in all texts."""
+    t = reviews(s, d).where("text IS NOT NULL").groupBy("text").agg(F.min("text_id").alias("doc"))
+    terms = t.withColumn("t", F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: x != ""))
+    counts = features.term_counts(terms, "doc", features.ngrams("t", 1, 2))
+    w = features.tfidf(counts, t.agg(F.count("*").alias("n")), 2, 1.0, True)
+    return w.groupBy("term").agg(F.count("*").alias("docs"), F.round(F.sum("weight"), 4).alias("weight")).where("docs >= 5")

@@ -468,3 +468,62 @@ def v12_span_comparison(s, d):
 def a9_entity_counts(s, d):
     """Correct, missed and false spans of each label, with rough precision and recall."""
     return evaluation.entity_counts(_compared(s, d))
+
+
+@query(f"""WITH g AS (SELECT DISTINCT doc, start_char, end_char, label FROM {_GOLD}) SELECT label, pl AS rule, count(*) AS n FROM g JOIN {_PREDICTED} p ON g.doc = p.doc AND greatest(g.start_char, ps) < least(g.end_char, pe) GROUP BY ALL""")
+def j8_span_overlap(s, d):
+    """Draft spans that a rule's span of the same text overlaps."""
+    g = parquet(s, d, "lab4_gold_ie_draft").where("field_type IN ('DATE', 'DOC_ID') AND text IS NOT NULL AND start_char >= 0").select(F.col("text_id").alias("doc"), "text", "start_char", "end_char", F.col("field_type").alias("label")).distinct()
+    t = g.select("doc", "text").distinct()
+    dates = _trimmed(t.select("doc", F.inline(R.dates("text")))).select("doc", "start_char", "end_char", F.lit("DATE").alias("rule"))
+    ids = t.select("doc", F.inline(R.document_ids("text"))).select("doc", "start_char", "end_char", F.lit("DOC_ID").alias("rule"))
+    p = dates.unionByName(ids).distinct().withColumnsRenamed({"start_char": "ps", "end_char": "pe"})
+    return g.drop("text").distinct().join(p, "doc").where("greatest(start_char, ps) < least(end_char, pe)").groupBy("label", "rule").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT source, count(DISTINCT sentence_id) AS sentences, count(*) AS tokens, sum((upos = 'NUM')::INT)::BIGINT AS num, sum((upos = 'PROPN')::INT)::BIGINT AS propn, sum((upos = 'PUNCT')::INT)::BIGINT AS punct, sum((upos = 'X')::INT)::BIGINT AS x FROM {_SQL_TOKENS} GROUP BY source")
+def a11_tag_counts(s, d):
+    """Sentences, tokens and tags by source."""
+    t = _tokens(s, d)
+    tags = t.groupBy("source").pivot("upos", ["NUM", "PROPN", "PUNCT", "X"]).agg(F.count("token_id")).na.fill(0)
+    n = t.groupBy("source").agg(F.count_distinct("sentence_id").alias("sentences"), F.count("*").alias("tokens"))
+    return n.join(tags, n["source"].eqNullSafe(tags["source"])).select(n["source"], "sentences", "tokens", F.col("NUM").alias("num"), F.col("PROPN").alias("propn"), F.col("PUNCT").alias("punct"), F.col("X").alias("x"))
+
+
+_TAGS = f"(SELECT sentence_id AS doc, list(upos ORDER BY token_id) AS t FROM {_SQL_TOKENS} GROUP BY sentence_id)"
+
+
+@query(f"""SELECT term, count(*) AS n, count(DISTINCT doc) AS docs FROM (SELECT doc, unnest(list_concat(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]), list_transform(range(1, len(t) - 2), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] || ' ' || t[i + 3]))) AS term FROM {_TAGS}) GROUP BY term""")
+def m2_tag_ngrams(s, d):
+    """Runs of two to four tags."""
+    t = _tokens(s, d).groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct("token_id", "upos"))).alias("z")).select(F.col("sentence_id").alias("doc"), F.col("z.upos").alias("t"))
+    return t.select("doc", F.explode(features.ngrams("t", 2, 4)).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("docs"))
+
+
+@query(f"SELECT sentence_id, array_to_string(list(form ORDER BY token_id), ' ') AS forms, array_to_string(list(upos ORDER BY token_id), ' ') AS tags FROM {_SQL_TOKENS} GROUP BY sentence_id")
+def m18_forms_and_tags(s, d):
+    """Forms and tags out of nested tokens."""
+    t = _tokens(s, d).groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct("token_id", "form", "upos"))).alias("tokens"))
+    return t.select("sentence_id", F.array_join(F.transform("tokens", lambda x: x["form"]), " ").alias("forms"), F.array_join(F.transform("tokens", lambda x: x["upos"]), " ").alias("tags"))
+
+
+_GRAMS = "(SELECT DISTINCT word, known, substring(p, i, n) AS g FROM (SELECT word, known, p, n, unnest(range(1, greatest(length(p) - n + 1, 1) + 1)) AS i FROM (SELECT word, known, ' ' || w || ' ' AS p, unnest([3, 4, 5]) AS n FROM (SELECT canonical_name AS word, loc_id % 2 = 0 AS known, unnest(string_split(lower(canonical_name), ' ')) AS w FROM location_ref))))"
+
+
+@query(f"SELECT word, CASE WHEN known THEN 'in_vocabulary' WHEN EXISTS (SELECT 1 FROM {_GRAMS} a JOIN {_GRAMS} b ON a.g = b.g WHERE a.word = x.word AND b.known) THEN 'oov_subword' ELSE 'oov' END AS status FROM (SELECT canonical_name AS word, loc_id % 2 = 0 AS known FROM location_ref) x")
+def m11_word_status(s, d):
+    """Whether a word has a vector, gets one from character n-grams it shares with others, or neither: names with an even number are known here, which is what is tested."""
+    from ..operators import models
+
+    names = parquet(s, d, "location_ref").select(F.col("canonical_name").alias("word"), "loc_id")
+    known = names.where("loc_id % 2 = 0").select("word", F.array(F.col("loc_id").cast("float"), F.lit(1.0).cast("float")).alias("vector"))
+    return models.subword_vectors(names, known).select("word", "status")
+
+
+@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine FROM q JOIN embeddings e ON e.vec_id <> q.vec_id)
+SELECT query_id, string_agg(id || ' (' || printf('%.3f', cosine) || ')', ', ' ORDER BY rank) AS neighbours FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM p) WHERE rank <= 3 GROUP BY query_id""")
+def m13_neighbour_table(s, d):
+    """The three nearest of each query as one string: a search, with the vectors whose id is divisible by 100 against all."""
+    v = parquet(s, d, "embeddings")
+    n = features.nearest(v, v.where("vec_id % 100 = 0"), 3).select("query_id", "rank", X.neighbour_string(F.col("id").cast("string"), "cosine").alias("shown"))
+    return n.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "shown"))), lambda x: x["shown"]), ", ").alias("neighbours"))

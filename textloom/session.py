@@ -23,14 +23,15 @@ def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSessi
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable by the Python workers, once per application: nothing to do where their path has it, else a zip of the package is added to the job."""
+    """Makes this package importable by the Python workers, once per application. Local workers inherit the driver's path and folder; on a cluster nothing is known of the workers' path, so a zip of the package always travels with the job."""
     import os
     import tempfile
     import zipfile
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     sc = spark.sparkContext
-    there = root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.master.startswith("local") and not sc.master.startswith("local-cluster") and os.path.realpath(os.getcwd()) == os.path.realpath(root)
+    local = sc.master == "local" or sc.master.startswith("local[")
+    there = local and (root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.path.realpath(os.getcwd()) == os.path.realpath(root))
     if there or sc.applicationId in _SHIPPED:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="textloom-code-"), "textloom_code.zip")

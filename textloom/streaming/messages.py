@@ -9,8 +9,8 @@ from ..functions.text import preprocess
 
 
 def preprocessed(messages: DataFrame, text: str = "text") -> DataFrame:
-    """A stream (or table) of messages with its `pre` struct."""
-    return messages.withColumn("pre", preprocess(text))
+    """A stream (or table) of messages with the columns of the preprocessing chain."""
+    return preprocess(messages, text)
 
 
 def windowed_counts(events: DataFrame, time: str = "ts", by: str = "event_type", window: str = "1 hour", late: str = "1 day") -> DataFrame:
