@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -218,3 +219,20 @@ def test_logistic_beats_the_majority(spark):
     train, test = df.where("text_id < 60"), df.where("text_id >= 60")
     assert models.logistic(train, test, features=1 << 10, iterations=20).where("pred = label").count() == 30
     assert models.linear_svm(train, test, features=1 << 10, iterations=5).where("pred = label").count() >= 29
+
+
+def test_metrics_as_rows_and_json(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5, None)], "n INT, rate DOUBLE, none DOUBLE")
+    assert {r.metric: r.value for r in writers.metric_rows(df).collect()} == {"n": 1.0, "rate": 0.5, "none": None}
+    writers.metrics_json(df, str(tmp_path / "m"))
+    files = [f for f in os.listdir(tmp_path / "m") if f.endswith(".json")]
+    assert len(files) == 1 and json.loads((tmp_path / "m" / files[0]).read_text()) == {"n": 1, "rate": 0.5, "none": None}
+
+
+def test_deliveries_are_deduplicated_on_a_stream(spark, tmp_path):
+    df = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:05"), (2, "2024-01-01 00:00:09")], "id INT, t STRING").withColumn("t", F.to_timestamp("t"))
+    df.write.parquet(str(tmp_path / "in"))
+    q = messages.deduplicated(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "id", "t").writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.id for r in spark.table("once").collect()) == [1, 2]

@@ -193,7 +193,3 @@ def ladder(rules: tuple[tuple[Column, str], ...], default: str | None) -> Column
     for cond, label in rules:
         out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
     return out.otherwise(F.lit(default)) if out is not None else F.lit(default)
-
-
-def contains_any(t: Column | str, words: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda k: c(t).contains(k))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import features, flow, metrics, models, splits, tagging, validation
+from ..operators import flow, metrics, models, splits, tagging, validation
 from ..operators.validation import Rule
 from ..sources.readers import parquet
 from .relational import _unit_weights, reviews

@@ -29,3 +29,8 @@ def split_ids(splits: DataFrame, path: str, mode: str = "overwrite") -> None:
 def metric_rows(df: DataFrame) -> DataFrame:
     """A one-row metrics frame as (metric, value) rows, for any report."""
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns])).alias("m")).select("m.*")
+
+
+def metrics_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A one-row metrics frame, or a small table as a confusion matrix, as one file of JSON lines."""
+    df.coalesce(1).write.mode(mode).option("ignoreNullFields", "false").json(path)
