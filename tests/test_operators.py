@@ -236,3 +236,10 @@ def test_deliveries_are_deduplicated_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.id for r in spark.table("once").collect()) == [1, 2]
+
+
+def test_nearest_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(40)], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    one = {tuple(r) for r in features.nearest(v, v.where("vec_id < 9"), 3).collect()}
+    assert len(one) == 27 and {tuple(r) for r in features.nearest(v, v.where("vec_id < 9"), 3, block=4).collect()} == one

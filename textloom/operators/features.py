@@ -52,13 +52,18 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return g.crossJoin(F.broadcast(t)).select(label, F.round(F.col("n") / (F.col("k") * F.col("c")), 6).alias("weight"))  # one row
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """(query_id, id, cosine, rank): exact top k by cosine for a small set of queries against all vectors; the query set is broadcast, its size checked, and each partition keeps only its own best."""
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", block: int = 100_000) -> DataFrame:
+    """(query_id, id, cosine, rank): exact top k by cosine for a set of queries against all vectors. Queries are broadcast in blocks of about `block`, a pass over the vectors each; each partition keeps only its own best."""
     from pyspark.sql import Window
 
     n = queries.count()
-    if n > 100_000:
-        raise ValueError("split the queries into blocks of at most 100,000")
+    if n > block:
+        blocks = -(-n // block) * 2  # by hash, so that none is larger than `block` but by chance
+        parts = [nearest(vectors, queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i), k, id_col, vec, max(block, n)) for i in range(blocks)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     dot = lambda a, b: F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     unit = lambda df, i, v: df.select(F.col(id_col).alias(i), F.col(vec).alias(v)).where(F.col(v).isNotNull())
     q = unit(queries, "query_id", "q").withColumn("nq", F.sqrt(dot("q", "q")))
