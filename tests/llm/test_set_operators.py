@@ -105,12 +105,14 @@ def test_weighted_join_finds_every_pair(weights, t, cell, seed):
     flat, at = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(x) for x in docs])])
     counts = np.bincount(crosssplit._bucket(flat), minlength=crosssplit.BUCKETS)
     weight = rng.lognormal(0, 1, crosssplit.BUCKETS) if weights == "random" else crosssplit.term_weights(counts, len(docs), weights)
-    d, term, *values = crosssplit.listed(flat, at, counts, weight, t)
+    cls = crosssplit.term_classes(counts, weight)
+    d, term, *values = crosssplit.listed(flat, at, counts, weight, cls, t)
     p = np.empty(len(d), dtype=crosssplit._POST)
-    for name, v in zip(("w", "norm", "rest", "max", "sum", "least"), values):
+    for name, v in zip(crosssplit._VALUES, values):
         p[name] = v
-    wide, narrow = crosssplit.sketches(flat, at[:-1])
-    p["key"], p["wide"], p["narrow"], p["side"] = d, wide[d], narrow[d], d % 2
+    for name, v in zip(crosssplit._SKETCHES, crosssplit.class_sketches(flat, at[:-1], cls)):
+        p[name] = v[d]
+    p["key"], p["side"] = d, d % 2
     i, lists = crosssplit.cells(term, p["key"].copy(), p["side"], counts[crosssplit._bucket(term)], cell)
     p = p[i]
     p["term"] = (lists >> np.uint64(32)).astype(np.uint32)
@@ -136,7 +138,7 @@ def test_idf_weights_are_exact(spark):
 
 def test_a_text_in_many_batches_is_paired_once():
     p = np.zeros(60_000, dtype=crosssplit._POST)
-    p["term"], p["w"], p["max"], p["sum"], p["least"], p["side"] = 1, 1, 1, 1, 1, np.arange(len(p)) % 2
+    p["term"], p["w"], p["max"], p["sum"], p["least0"], p["side"] = 1, 1, 1, 1, 1, np.arange(len(p)) % 2
     began = time.time()
     assert crosssplit.met_in(p, 0.8).tolist() == [[0, 0]] and time.time() - began < 2
 
@@ -147,6 +149,8 @@ def test_written_tables_are_deleted(spark, tmp_path):
     assert os.path.exists(path) and t.count() == 5
     common.dropped(t, spark.range(3))
     assert not os.path.exists(path)
+    common.written(spark.range(2), "y")
+    assert common.release(spark) >= 1 and common.release(spark) == 0
 
 
 def test_sample_follows_targets(spark):

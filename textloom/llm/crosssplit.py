@@ -5,8 +5,9 @@ frequency, or 1) and unit length. Terms are put in one global order, rare ones f
 which on its residual norm still reaches the threshold t. Of two vectors x, y that list a term, the dot product is at most
 
 * sum(x) * max(y) and sum(y) * max(x), whole vectors (maximum weights): one range of the list sorted by maximum weight;
-* 1 - H * min(least squared weights) / 2, H the Hamming distance of their parity sketches, since the squared distance of
-  the vectors is 2 - 2 * dot and every word of one of them only adds its squared weight to it;
+* 1 - sum(H * min(least squared weights)) / 2 over six classes of terms by weight, H the Hamming distance of the parity
+  sketches of a class, since the squared distance of the vectors is 2 - 2 * dot and every word of one of them only adds
+  its squared weight to it;
 * w(x) * w(y) + min(|rest x| * |rest y|, sum(rest x) * max(y), sum(rest y) * max(x)), if this is their first common term
   (residual norms and maximum weights); a pair is met there in any case.
 
@@ -25,13 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, partitions_for, written
-from .setjoin import by_partition, distance, flat_sets, in_bloom, bloom, mix, sketches, word_sets
+from .setjoin import bloom, by_partition, flat_sets, in_bloom, mix, word_sets
 
 #: Documents of a term are counted by hash bucket in a table of fixed size (1 MB): the order of terms only affects speed, and the idf of a term is that of its bucket.
 BUCKETS = 1 << 18
-#: Postings of one term and side in a cell.
+#: Documents of a term in a row or column of its grid; buckets hold more terms as a corpus grows, so four times their mean if that is more.
 CELL = 20_000
-_POST = np.dtype([("term", "<u4"), ("w", "<f4"), ("norm", "<f4"), ("rest", "<f4"), ("max", "<f4"), ("sum", "<f4"), ("least", "<f4"), ("key", "<i8"), ("wide", "<u8"), ("narrow", "<u4"), ("side", "u1")])
+#: Classes of terms by weight, each with a parity sketch of 32 bits; two share a number.
+CLASSES = 6
+_VALUES = ("w", "norm", "rest", "max", "sum", *(f"least{k}" for k in range(CLASSES)))
+_SKETCHES = tuple(f"sketch{k}" for k in range(CLASSES // 2))
+_POST = np.dtype([("term", "<u4"), *((v, "<f4") for v in _VALUES), ("key", "<i8"), *((v, "<u8") for v in _SKETCHES), ("side", "u1")])
 _SLACK = 1e-5  # weights travel as 32-bit numbers
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,8 +71,26 @@ def term_weights(counts: np.ndarray, sets: int, weights: str) -> np.ndarray:
     return np.log1p(max(1, sets) / np.maximum(counts, 1))
 
 
-def listed(flat: np.ndarray, at: np.ndarray, counts: np.ndarray, weight: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
-    """(vector, term, w, norm, rest, max, sum, least) of the terms that each of the vectors lists, norm and rest being the length and the sum of what follows."""
+def term_classes(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The class of a term by bucket, by falling weight, an equal part of all squared weight each; equal weights are dealt out."""
+    if weight.min() == weight.max():
+        return (np.arange(BUCKETS) % CLASSES).astype(np.uint8)
+    o = np.argsort(-weight, kind="stable")
+    mass = np.cumsum((counts * weight * weight)[o])
+    out = np.empty(BUCKETS, dtype=np.uint8)
+    out[o] = np.minimum(CLASSES - 1, (CLASSES * mass / max(mass[-1], 1e-300)).astype(np.int64))
+    return out
+
+
+def class_sketches(flat: np.ndarray, at: np.ndarray, cls: np.ndarray) -> list[np.ndarray]:
+    """32-bit parity sketches of the terms of each class, two classes in a number."""
+    c = cls[_bucket(flat)].astype(np.uint64)
+    bit = np.uint64(1) << ((mix(flat) >> np.uint64(32)) % np.uint64(32) + np.uint64(32) * (c % np.uint64(2)))
+    return [np.bitwise_xor.reduceat(np.where(c // np.uint64(2) == np.uint64(k), bit, np.uint64(0)), at) for k in range(CLASSES // 2)]
+
+
+def listed(flat: np.ndarray, at: np.ndarray, counts: np.ndarray, weight: np.ndarray, cls: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
+    """(vector, term, w, norm, rest, max, sum, least of each class) of the terms that each of the vectors lists, norm and rest being the length and the sum of what follows."""
     n = np.diff(at)
     doc = np.repeat(np.arange(len(n)), n)
     raw = weight[_bucket(flat)]
@@ -79,9 +102,11 @@ def listed(flat: np.ndarray, at: np.ndarray, counts: np.ndarray, weight: np.ndar
     added = np.cumsum(w)
     total = np.add.reduceat(w, at[:-1])
     rest = total[doc] - (added - (added - w)[at[:-1]][doc])
+    least = np.full((len(n), CLASSES), 4.0)  # more than any: a class without terms does not lower the other vector's
+    np.minimum.at(least, (doc, cls[_bucket(term)]), w * w)
     own = 1 - before >= t * t - 1e-9
     d = doc[own]
-    return d, term[own], w[own], np.sqrt(np.maximum(0, 1 - before - w * w))[own], np.maximum(rest, 0)[own], np.maximum.reduceat(w, at[:-1])[d], total[d], np.minimum.reduceat(w * w, at[:-1])[d]
+    return d, term[own], w[own], np.sqrt(np.maximum(0, 1 - before - w * w))[own], np.maximum(rest, 0)[own], np.maximum.reduceat(w, at[:-1])[d], total[d], *(least[d, k] for k in range(CLASSES))
 
 
 def cells(term: np.ndarray, key: np.ndarray, side: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,19 +123,21 @@ def _postings(sets: DataFrame, held, parts: int, t: float, cell: int) -> DataFra
     """(pid, blob): postings of each vector by the partition that holds the term's list; equal sets of one side are posted once a batch."""
 
     def kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, weight = held.value
+        counts, weight, cls = held.value
         for b in it:
             both = np.stack([b.column("key").to_numpy(), b.column("side").to_numpy().astype(np.int64)], axis=1)
             uniq, first = np.unique(both, axis=0, return_index=True)
             flat, at = flat_sets(b.column("toks").take(pa.array(first)))
             if not len(flat):
                 continue
-            wide, narrow = sketches(flat, at[:-1])
-            d, term, *values = listed(flat, at, counts, weight, t)
+            sketch = class_sketches(flat, at[:-1], cls)
+            d, term, *values = listed(flat, at, counts, weight, cls, t)
             p = np.empty(len(d), dtype=_POST)
-            for name, v in zip(("w", "norm", "rest", "max", "sum", "least"), values):
+            for name, v in zip(_VALUES, values):
                 p[name] = v
-            p["key"], p["wide"], p["narrow"], p["side"] = uniq[d, 0], wide[d], narrow[d], uniq[d, 1]
+            for name, v in zip(_SKETCHES, sketch):
+                p[name] = v[d]
+            p["key"], p["side"] = uniq[d, 0], uniq[d, 1]
             i, lists = cells(term, p["key"].copy(), p["side"], counts[_bucket(term)], cell)
             p = p[i]
             p["term"] = (lists >> np.uint64(32)).astype(np.uint32)
@@ -126,6 +153,7 @@ def _postings(sets: DataFrame, held, parts: int, t: float, cell: int) -> DataFra
 def met_in(p: np.ndarray, t: float) -> np.ndarray:
     """Rows (evaluation key, training key) of the postings of some lists whose bounds reach t. A set posted several times counts once."""
     t -= _SLACK
+    low = np.uint64(0xFFFFFFFF)
     o = np.lexsort((p["key"], p["side"], p["term"]))
     term, side, key = p["term"][o], p["side"][o], p["key"][o]
     once = np.concatenate([[True], (term[1:] != term[:-1]) | (side[1:] != side[:-1]) | (key[1:] != key[:-1])])
@@ -149,8 +177,12 @@ def met_in(p: np.ndarray, t: float) -> np.ndarray:
             i = np.repeat(np.arange(a, b), w)
             j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(lo[a:b], w)
             a = b
-            ok = distance(x["wide"][i], x["narrow"][i], y["wide"][j], y["narrow"][j]) * np.minimum(x["least"][i], y["least"][j]) <= 2 * (1 - t)
-            i, j = i[ok], j[ok]
+            apart = np.zeros(len(i), dtype=np.float32)  # a lower bound of the squared distance
+            for k, name in enumerate(_SKETCHES):
+                differ, u, v = x[name][i] ^ y[name][j], f"least{2 * k}", f"least{2 * k + 1}"
+                apart = apart + np.bitwise_count(differ & low) * np.minimum(x[u][i], y[u][j]) + np.bitwise_count(differ >> np.uint64(32)) * np.minimum(x[v][i], y[v][j])
+                ok = apart <= 2 * (1 - t)
+                i, j, apart = i[ok], j[ok], apart[ok]
             ok = y["sum"][j] * x["max"][i] >= t
             i, j = i[ok], j[ok]
             after = np.minimum(x["norm"][i] * y["norm"][j], np.minimum(x["rest"][i] * y["max"][j], y["rest"][j] * x["max"][i]))
@@ -228,8 +260,10 @@ def cross_split(
     sets = written(word_sets(joined, "id", "text", least, ("split", "source", "side")), "sets")
     n = sets.count()
     counts = term_counts(sets)
-    held = spark.sparkContext.broadcast((counts, term_weights(counts, n, weights)))
-    parts = partitions_for(spark, 1 + n * 12 // 300_000)  # about 13 MB of postings each
+    weight = term_weights(counts, n, weights)
+    held = spark.sparkContext.broadcast((counts, weight, term_classes(counts, weight)))
+    parts = partitions_for(spark, 1 + n * 12 // 200_000)  # about 16 MB of postings each
+    cell = max(cell, 4 * int(counts.mean()))
     met = written(_probe(by_partition(_postings(sets, held, parts, cosine, cell), parts), cosine), "met")
     pairs = written(met.where("a <> b").distinct(), "pairs")
     members = written(sets.select("id", "split", "source", "key", "side", "n").distinct(), "members")
