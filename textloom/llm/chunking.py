@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,14 +32,15 @@ SEPARATORS = (
 )
 
 
-def parts(text: str, start: int, end: int, limit: int, path: str, sentence_starts: list[int], rank: int = 0) -> list[tuple[int, int, int]]:
+def parts(text: str, start: int, end: int, limit: int, path: str, sentence_starts: Callable[[], list[int]], rank: int = 0) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of consecutive parts of at most `limit` tokens, each as large a natural unit as fits."""
     n = count(text[start:end], path)
     if n <= limit:
         return [(start, end, n)] if end > start else []
     while rank < len(SEPARATORS):
         if SEPARATORS[rank] is None:
-            cuts = sentence_starts[bisect_right(sentence_starts, start):bisect_left(sentence_starts, end)]
+            at = sentence_starts()
+            cuts = at[bisect_right(at, start):bisect_left(at, end)]
         else:
             cuts = [m.end() for m in SEPARATORS[rank].finditer(text, start, end) if start < m.end() < end]
         rank += 1
@@ -91,7 +93,7 @@ def pieces(text: str | None, limit: int = 2048, overlap: int = 64, path: str | N
     if total <= limit:
         return [(0, len(text), total)]
     room = limit - overlap
-    units = parts(text, 0, len(text), max(1, room), path, starts(text, model))
+    units = parts(text, 0, len(text), max(1, room), path, cache(lambda: starts(text, model)))
     out: list[tuple[int, int, int]] = []
     k = 0
     while k < len(units):
