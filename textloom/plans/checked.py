@@ -145,7 +145,7 @@ def m5_logistic(s, d):
 def m6_linear_svm(s, d):
     """The same of linear support vector machines."""
     train, test = _splits(s, d)
-    return metrics.report(models.linear_svm(train, test, chars=False).withColumnRenamed("label", "gold"))
+    return metrics.report(models.linear_svm(train, test).withColumnRenamed("label", "gold"))
 
 
 @query()
