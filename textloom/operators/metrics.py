@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import below
+
 
 def confusion(df: DataFrame, gold: str = "gold", pred: str = "pred", most: int = 2_000) -> DataFrame:
     """(gold, pred, n) for every pair of labels that occur, absent pairs as 0."""
@@ -39,8 +41,8 @@ def report(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
 def _running(df: DataFrame, score: str, y: str, bins: int = 1_024) -> DataFrame:
     """(threshold, pos, tp, k, p): per distinct score its positives, positives and rows at or above it, and all positives. Scores are pre-aggregated and cut into ranges; only a range is ordered in one task, and the ranges' totals are carried."""
     g = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
-    cuts = g.agg(F.percentile_approx("threshold", [i / bins for i in range(1, bins)], 10_000).alias("cuts"))
-    x = g.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("cuts", lambda c: c > F.col("threshold")))).drop("cuts")  # one row of fixed size
+    cuts = g.agg(F.percentile_approx("threshold", [i / bins for i in range(1, bins)], 10_000).alias("cuts")).first().cuts or []  # a fixed number
+    x = g.withColumn("bin", len(cuts) - below(F.col("threshold"), cuts, True))
     w = Window.partitionBy("bin").orderBy(F.desc("threshold"))
     totals = x.groupBy("bin").agg(F.sum("pos").alias("bp"), F.sum("n").alias("bn"))
     carried = totals.select("bin", (F.sum("bp").over(Window.orderBy("bin")) - F.col("bp")).alias("ap"), (F.sum("bn").over(Window.orderBy("bin")) - F.col("bn")).alias("an"), F.sum("bp").over(Window.partitionBy()).alias("p"))  # a row per range

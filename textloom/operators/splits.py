@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import below
+
 
 def check(fractions: dict[str, float]) -> None:
     if not fractions or any(f < 0 for f in fractions.values()) or abs(sum(fractions.values()) - 1) > 1e-9:
@@ -79,10 +81,10 @@ def by_time(df: DataFrame, time: str, fractions: dict[str, float], id_col: str =
     x = df.select(F.col(id_col).alias("id"), F.col(time).alias("time")).where("time IS NOT NULL")
     number = dict(x.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint")
     places = [i / bins for i in range(1, bins)]
-    cuts = x.select(F.unix_micros(F.col("time").cast("timestamp")).alias("t"), (F.col("id") if number else F.lit(0)).alias("i")).agg(F.percentile_approx("t", places, 10_000).alias("tc"), F.percentile_approx("i", places, 10_000).alias("ic"), F.count("*").alias("total"))
     t = F.unix_micros(F.col("time").cast("timestamp"))
-    r = x.crossJoin(F.broadcast(cuts)).withColumn("b1", F.size(F.filter("tc", lambda c: c < t))).withColumn("b2", F.size(F.filter("tc", lambda c: c <= t)))  # one row of fixed size
-    r = r.withColumn("b3", F.when(F.col("b1") < F.col("b2"), F.size(F.filter("ic", lambda c: c < F.col("id")))).otherwise(0) if number else F.lit(0)).drop("tc", "ic")
+    cuts = x.select(t.alias("t"), (F.col("id") if number else F.lit(0)).alias("i")).agg(F.percentile_approx("t", places, 10_000).alias("tc"), F.percentile_approx("i", places, 10_000).alias("ic"), F.count("*").alias("total")).first()  # fixed numbers
+    r = x.withColumn("b1", below(t, cuts.tc)).withColumn("b2", below(t, cuts.tc, True)).withColumn("total", F.lit(cuts.total))
+    r = r.withColumn("b3", F.when(F.col("b1") < F.col("b2"), below(F.col("id"), cuts.ic)).otherwise(0) if number else F.lit(0))
     key = ["b1", "b2", "b3"]
     counted = r.groupBy(*key).agg(F.count("*").alias("n"))
     n = counted.agg(F.sum("n")).first()[0] or 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +44,13 @@ def exact_match_share(df: DataFrame, key: str, gold: str, pred: str) -> DataFram
     """Share of sequences whose labels all agree; two sequences of one length are equal if each place is, so no sequence is collected."""
     s = df.groupBy(key).agg(F.min((F.col(gold).eqNullSafe(F.col(pred))).cast("int")).alias("ok"))
     return s.agg(F.count("*").alias("sequences"), F.round(F.avg("ok"), 6).alias("exact_match"))
+
+
+def below(value: Column, cuts: list, equal: bool = False) -> Column:
+    """How many of some sorted cuts are less than a value (`equal`: or equal to it), by binary search in Arrow batches; no cuts give 0."""
+    at, side = np.array(cuts or [], dtype=np.float64 if any(isinstance(c, float) for c in cuts or []) else np.int64), "right" if equal else "left"
+
+    def search(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, v.to_numpy(), side=side).astype(np.int32))
+
+    return F.pandas_udf(search, "int")(value)
