@@ -143,6 +143,23 @@ def test_a_text_in_many_batches_is_paired_once():
     assert crosssplit.met_in(p, 0.8).tolist() == [[0, 0]] and time.time() - began < 2
 
 
+def test_a_long_list_is_compared_in_blocks():
+    rng = np.random.default_rng(6)
+    p = np.zeros(40_000, dtype=crosssplit._POST)
+    w = 1 / np.sqrt(rng.integers(40, 46, len(p)))
+    p["term"], p["w"], p["max"], p["sum"], p["norm"], p["rest"] = 1, w, w, 1 / w, 0.99, 1 / w
+    p["key"], p["side"] = np.arange(len(p)), np.arange(len(p)) % 2
+    for k in range(crosssplit.CLASSES):
+        p[f"least{k}"] = w * w
+    for name in crosssplit._SKETCHES:
+        p[name] = rng.integers(0, 1 << 63, len(p), dtype=np.uint64)
+        p[name][1::2][:50] = p[name][::2][:50]  # fifty pairs of equal sketches
+    began = time.time()
+    met = {tuple(x) for x in crosssplit.met_in(p, 6 / 7).tolist()}
+    assert time.time() - began < 3  # 400 million pairs
+    assert {(2 * k, 2 * k + 1) for k in range(50) if min(w[2 * k], w[2 * k + 1]) >= 6 / 7 * max(w[2 * k], w[2 * k + 1])} <= met and len(met) < 100
+
+
 def test_written_tables_are_deleted(spark, tmp_path):
     t = common.written(spark.range(5), "x")
     path = t.inputFiles()[0].removeprefix("file:").replace("///", "/")
