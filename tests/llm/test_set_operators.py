@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import chars, common, crosssplit, linking, mixing, neardup, sampling, tokens
-from textloom.llm.setjoin import word_sets
+from textloom.llm.setjoin import close_pairs, cross_pairs, word_sets
 
 
 def edited_texts(seed=3, groups=25):
@@ -160,6 +160,35 @@ def test_a_long_list_is_compared_in_blocks():
     assert {(2 * k, 2 * k + 1) for k in range(50) if min(w[2 * k], w[2 * k + 1]) >= 6 / 7 * max(w[2 * k], w[2 * k + 1])} <= met and len(met) < 100
 
 
+@pytest.mark.parametrize("top", [60, neardup.MOST + 9])
+def test_long_buckets_are_compared_in_blocks(top):
+    rng = np.random.default_rng(7)
+    e = np.zeros(900, dtype=neardup._ENTRY)
+    e["sig"], e["key"], e["n"] = np.repeat([1, 2, 3], [500, 399, 1]), np.arange(900) % 850, np.minimum(rng.integers(14, top, 900), neardup.MOST)
+    base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    e["wide"] = base[rng.integers(0, 30, 900)] ^ (np.uint64(1) << rng.integers(0, 63, 900).astype(np.uint64))
+    near = neardup._Near(e, e, 3, 4)
+    i, j = np.triu_indices(900, 1)
+    ok = (e["sig"][i] == e["sig"][j]) & near(i, j) & (e["key"][i] != e["key"][j])
+    want = {(min(a, b), max(a, b)) for a, b in zip(e["key"][i[ok]].tolist(), e["key"][j[ok]].tolist())}
+    assert want and {tuple(x) for x in close_pairs(e["sig"].copy(), e["key"].copy(), near).tolist()} == want
+    x, y = e[::2], e[1::2]
+    i, j = np.divmod(np.arange(450 * 450), 450)
+    near = neardup._Near(x, y, 3, 4)
+    ok = (x["sig"][i] == y["sig"][j]) & near(i, j) & (x["key"][i] != y["key"][j])
+    want = {(min(a, b), max(a, b)) for a, b in zip(x["key"][i[ok]].tolist(), y["key"][j[ok]].tolist())}
+    assert want and {tuple(r) for r in cross_pairs(x["sig"].copy(), x["key"].copy(), y["sig"].copy(), y["key"].copy(), near).tolist()} == want
+
+
+def test_a_long_bucket_takes_little_time():
+    rng = np.random.default_rng(8)
+    e = np.zeros(30_000, dtype=neardup._ENTRY)
+    e["sig"], e["key"], e["n"], e["wide"] = 1, np.arange(len(e)), rng.integers(40, 50, len(e)), rng.integers(0, 1 << 63, len(e), dtype=np.uint64)
+    began = time.time()
+    close_pairs(e["sig"].copy(), e["key"].copy(), neardup._Near(e, e, 3, 4))
+    assert time.time() - began < 3  # 450 million pairs
+
+
 def test_written_tables_are_deleted(spark, tmp_path):
     t = common.written(spark.range(5), "x")
     path = t.inputFiles()[0].removeprefix("file:").replace("///", "/")
