@@ -43,6 +43,32 @@ def test_cosine_pairs_match_brute_force(spark):
     assert got == {(i, j) for i in range(24) for j in range(i + 1, 24) if docs[i] @ docs[j] >= 0.95}
 
 
+@pytest.mark.parametrize("threshold,most", [(0.95, 1000), (0.8, 1000), (0.8, 20), (0.3, 1000)])
+def test_document_pairs_match_the_cosine_join(spark, threshold, most):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(60):
+        base = [f"t{int(x)}" for x in rng.zipf(1.5, 12) % 60]
+        rows += [(3 * i + k, base[k:] + ["t1"] * k) for k in range(3)]
+    rows += [(0, ["t7", "t8"]), (None, ["t7", "t9"]), (None, ["t9"]), (500, []), (501, ["only"])]
+    df = spark.createDataFrame(rows, "doc BIGINT, terms ARRAY<STRING>")
+    counts = features.term_counts(df, "doc", F.col("terms"))
+    want = similarity.cosine_pairs(features.tfidf(counts, df.agg(F.count("*").alias("n")), 2, 1.0, False), threshold).collect()
+    got = similarity.document_pairs(df, threshold, most=most).collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("name,megabytes", [("j7_near_duplicate_pairs", 5), ("d6_leakage_report", 10)])
+def test_near_duplicates_shuffle_little(spark, name, megabytes):
+    from textloom.plans import registry
+
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = written()
+    registry.QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    assert written() - before < megabytes * 1e6
+
+
 def test_tfidf_is_the_smooth_formula(spark):
     docs = {1: ["a", "b", "a"], 2: ["a", "c"], 3: ["b", "c", "c"]}
     df = spark.createDataFrame([(k, v) for k, v in docs.items()], "d INT, t ARRAY<STRING>")
