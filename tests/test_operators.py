@@ -58,6 +58,14 @@ def test_document_pairs_match_the_cosine_join(spark, threshold, most):
     assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+def test_leakage_report_counts_repeated_rows_once(spark):
+    rows = [(1, "label: x", "s", "train"), (1, "label: x", "s", "train"), (2, "label: x", "s", "test"), (2, "label: x", "s", "test"), (3, "y", "z", "val")]
+    df = spark.createDataFrame(rows, "text_id INT, text STRING, source STRING, split STRING")
+    near = spark.createDataFrame([], "split_a STRING, split_b STRING")
+    got = {tuple(r) for r in splits.leakage_report(df, near, df.select("split", F.lit(1).alias("time")), ("nothing",)).collect()}
+    assert got == {("exact", "test", "train", 1), ("group", "test", "train", 1), ("template", "train", "train", 1), ("template", "test", "test", 1), ("time", "train", "test", 0), ("time", "train", "val", 0)}
+
+
 @pytest.mark.parametrize("name,megabytes", [("j7_near_duplicate_pairs", 5), ("d6_leakage_report", 10)])
 def test_near_duplicates_shuffle_little(spark, name, megabytes):
     from textloom.plans import registry

@@ -123,9 +123,9 @@ def template_leaks(df: DataFrame, text: str, labels: tuple[str, ...], metadata:
 
 
 def leakage_report(rows: DataFrame, near: DataFrame, times: DataFrame, labels: tuple[str, ...], text: str = "text", group: str = "source", split: str = "split") -> DataFrame:
-    """(kind, split_a, split_b, n): every check in one table. `near` has (split_a, split_b), a row per pair of near-duplicates; `times` (split, time); kind time is 1 where a later split begins before an earlier one ends."""
+    """(kind, split_a, split_b, n): every check in one table. Repeated rows count once. `near` has (split_a, split_b), a row per pair of near-duplicates; `times` (split, time); kind time is 1 where a later split begins before an earlier one ends."""
     two = lambda df, kind: df.select(F.lit(kind).alias("kind"), "split_a", "split_b", F.col("n").cast("bigint").alias("n"))
-    template = template_leaks(rows, text, labels).groupBy(split).agg(F.count("*").alias("n")).select(F.lit("template").alias("kind"), F.col(split).alias("split_a"), F.col(split).alias("split_b"), "n")
+    template = template_leaks(rows, text, labels).distinct().groupBy(split).agg(F.count("*").alias("n")).select(F.lit("template").alias("kind"), F.col(split).alias("split_a"), F.col(split).alias("split_b"), "n")
     ends = times.groupBy("split").agg(F.min("time").alias("lo"), F.max("time").alias("hi"))
     b = ends.select(F.col("split").alias("split_b"), F.col("lo").alias("lo_b"))
     order = F.col("split_a").isin("train") & F.col("split_b").isin("val", "test")
