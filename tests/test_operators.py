@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import time
 
 import numpy as np
 import pytest
@@ -153,6 +154,21 @@ def test_crf_learns_a_context(spark):
     assert all(r.pred == r.tags for r in out)
 
 
+def test_crf_takes_all_sentences_at_once(spark):
+    rng = np.random.default_rng(5)
+    words = np.array([f"{a}{b}" for a in ("Кіт", "пес", "12", ",") for b in range(50)])
+    data = [(i, words[rng.integers(0, 200, n)].tolist()) for i, n in enumerate(rng.integers(0, 60, 3000).tolist())]
+    rows = [(i, f, ["PROPN" if w[0] == "К" else "NUM" if w[0] == "1" else "X" for w in f]) for i, f in data]
+    df = spark.createDataFrame(rows, "sentence_id INT, forms ARRAY<STRING>, tags ARRAY<STRING>").repartition(4).cache()
+    df.count()
+    began = time.time()
+    m = tagging.train_crf(df, ["NUM", "PROPN", "X"], rounds=12)
+    got = {r.sentence_id: r.pred for r in tagging.tag_by_crf(df, m).collect()}
+    assert time.time() - began < 8
+    assert len(got) == 3000 and all(got[i] == t for i, _, t in rows)
+    assert all(got[i] == tagging.viterbi(f, m) for i, f, _ in rows[:100])
+
+
 def test_classifiers_separate_obvious_classes(spark):
     df = spark.createDataFrame([(i, f"{'добре чудово' if i % 2 else 'погано жахливо'} слово{i % 5}", "pos" if i % 2 else "neg") for i in range(60)], "text_id INT, text STRING, label STRING")
     for f in (models.logistic, models.linear_svm):
