@@ -271,6 +271,29 @@ def test_logistic_beats_the_majority(spark):
     assert models.linear_svm(train, test, features=1 << 10, iterations=5).where("pred = label").count() >= 29
 
 
+def test_one_vs_rest_on_packed_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.poisson(0.3, (400, 200))
+    x[:, 0] = 1
+    y = (x[:, 1:4] * [1, 2, 3]).sum(axis=1) % 3
+    rows = [(f"c{k}", np.flatnonzero(v).tolist(), v[v > 0].astype(float).tolist()) for k, v in zip(y, x)]
+    df = spark.createDataFrame(rows, "label STRING, _i ARRAY<INT>, _c ARRAY<DOUBLE>").repartition(3)
+    packed = models._packed(df, "label", ["c0", "c1", "c2"])
+    blobs = packed.select(F.expr("sum(length(y) + length(size) + length(gap) + length(count))").alias("b"), F.sum("m").alias("m")).first()
+    assert blobs.m == (x > 0).sum() and blobs.b < 3 * blobs.m  # a sparse vector has 12 bytes an entry, and each class had its own copy
+    idf = 1 + rng.random(200)
+    w, b = models._one_vs_rest(packed, idf, 3, 1e-3, 40)
+    v = x * idf / np.linalg.norm(x * idf, axis=1, keepdims=True)
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.linalg import Vectors
+
+    for k in range(3):
+        sign = np.where(y == k, 1, -1)
+        loss = lambda w, b: np.maximum(0, 1 - sign * (v @ w + b)).mean() + 5e-4 * w @ w  # noqa: E731, B023
+        theirs = LinearSVC(regParam=1e-3, maxIter=40, tol=1e-4, standardization=False).fit(spark.createDataFrame([(Vectors.dense(r), float(s > 0)) for r, s in zip(v, sign)], ["features", "label"]))
+        assert loss(w[:, k], b[k]) <= loss(theirs.coefficients.toArray(), theirs.intercept) * 1.05
+
+
 def test_metrics_as_rows_and_json(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5, None)], "n INT, rate DOUBLE, none DOUBLE")
     assert {r.metric: r.value for r in writers.metric_rows(df).collect()} == {"n": 1.0, "rate": 0.5, "none": None}
