@@ -411,3 +411,41 @@ def test_word_vectors_reach_the_loss_of_single_steps(spark):
         SparkContext.broadcast = broadcast
     order = np.argsort([ids[r.word] for r in out])
     assert loss(held[-1][order], held[-2][order]) < 1.02 * loss(u, v)
+
+
+def test_svm_has_every_term(spark):
+    from textloom.operators import features
+
+    rows = [(i, f"слово{i % 7} і  Мітка{i // 2}-а it’s {'дуже ' * (i % 3)}{i}", "ab"[i // 2 % 2]) for i in range(4000)]  # a word of its own tells two texts; more terms than 2^14
+    train = spark.createDataFrame([*rows, (-2, "", "b"), (-3, "я", None)], "text_id BIGINT, text STRING, label STRING")
+    words = models._worded(train, "text", True)
+    terms = words.select("text_id", F.explode(F.array_distinct(F.concat(F.transform(features.ngrams("_words"), lambda g: F.concat(F.lit("w:"), g)), features.char_ngrams("text")))).alias("t"))
+    often = sorted(r.n for r in terms.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").collect())
+    _, idf = models._vocabulary(words.select("_words", "_pieces"), None)
+    assert np.allclose(idf, np.log(4003 / (np.array(often[::-1]) + 1)))
+    held = {}
+
+    def seen(rows, idf, classes, reg, iterations=None):
+        held.update(columns=len(idf), iterations=iterations)
+        return np.zeros((len(idf), classes)), np.zeros(classes)
+
+    own, models._one_vs_rest = models._one_vs_rest, seen
+    try:
+        models.linear_svm(train, train)
+    finally:
+        models._one_vs_rest = own
+    assert held == {"columns": len(idf), "iterations": None}  # 2^14 columns and 10 rounds before
+
+
+def test_descent_comes_to_the_least_loss():
+    rng = np.random.default_rng(2)
+    x = rng.random((90, 40)) * (rng.random((90, 40)) < 0.3)
+    x[:, 0] = 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(x[:, 1] + 0.3 * rng.random(90) > 0.2, 1.0, -1.0)
+    at, w, b, a, soft = np.concatenate([[0], np.cumsum((x > 0).sum(axis=1))]), np.zeros(40), 0.0, np.zeros(90), 0.3
+    for _ in range(400):
+        b, loss, gap = models._descent(y, np.nonzero(x)[1], at, x[x > 0], w, b, a, 1.0, soft)
+        assert np.allclose(w, (a * y) @ x)
+        b += soft * (a @ y)
+    assert gap < 0.005 * (loss + w @ w / 2) and abs(a @ y) < 0.05
